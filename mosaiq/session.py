@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,3 +41,11 @@ def spread(df: DataFrame) -> DataFrame:
 def norm_text(col) -> "F.Column":
     """Text read without case and without white space around it."""
     return F.lower(F.regexp_replace(col, r"^\s+|\s+$", ""))
+
+
+def save(df: DataFrame) -> DataFrame:
+    """As ``cut``, but as a compressed table: less disk for wide or large intermediate results."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
