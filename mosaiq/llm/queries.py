@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import mixing, tokens, topn
+from mosaiq.llm import mixing, permknn, tokens, topn
 from mosaiq.session import cut, read
 
 
@@ -32,6 +32,16 @@ with a as (
 """
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return permknn.pairs(permknn.neighbours(read(spark, d, "face_features")))
+
+
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """As a search: every hundredth face (by id) against all faces."""
+    near = permknn.neighbours(read(spark, d, "face_features"))
+    return near.where("face_id % 100 = 0")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(read(spark, d, "documents"), "doc_id")
 
@@ -58,7 +68,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_ranked, p6_ids, p7_found, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p4_found, p4_ranked, p5_found, p5_neighbours, p6_ids, p7_found, p7_mix, p7_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
