@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import mixing, permknn, tokens, topn
+from mosaiq.llm import clusters, mixing, permknn, tokens, topn
 from mosaiq.session import cut, read
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.clusters(read(spark, d, "face_features"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     a = read(spark, d, "face_person_assignments")
     return topn.top_n(a, "person_id", "confidence", "face_id", "assignment_id", 10, 0.0, 1.0).select("person_id", "assignment_id")
@@ -68,7 +72,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_ranked, p5_found, p5_neighbours, p6_ids, p7_found, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p3_found, p4_found, p4_ranked, p5_found, p5_neighbours, p6_ids, p7_found, p7_mix, p7_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
