@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import clusters, mixing, permknn, tokens, topn
+from mosaiq.llm import clusters, history, mixing, permknn, tokens, topn
 from mosaiq.session import cut, read
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.find_repeats(read(spark, d, "images"), read(spark, d, "new_images"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return clusters.clusters(read(spark, d, "face_features"))
 
@@ -72,7 +76,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p4_found, p4_ranked, p5_found, p5_neighbours, p6_ids, p7_found, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_ranked, p5_found, p5_neighbours, p6_ids, p7_found, p7_mix, p7_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
