@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import clusters, history, mixing, permknn, tokens, topn
+from mosaiq.llm import clusters, history, mixing, permknn, quality, tokens, topn
 from mosaiq.session import cut, read
 
 
@@ -75,8 +75,21 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(plan, mixing.mix_sources(sized, plan))
 
 
+def _types(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_types(read(spark, d, "documents"), read(spark, d, "common_words"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _types(spark, d).where("p_prose < 0.5").select("doc_id")
+
+
+def p8_figures(spark: SparkSession, d: str) -> DataFrame:
+    t = _types(spark, d)
+    return t.select(*[F.round(c, 6).alias(c) if k == "double" else c for c, k in t.dtypes])
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_ranked, p5_found, p5_neighbours, p6_ids, p7_found, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_ranked, p5_found, p5_neighbours, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_figures)}
 
 
 def oracle_sql() -> dict[str, str]:
