@@ -208,7 +208,7 @@ def comp():
 
 _face("f01_combined_quality", lambda: [rnd(Q.combined(c("det"), Q.area_score(c("w"), c("h")), c("blur"), Q.pose_of_angles(c("yaw"), c("pitch"), c("roll"))), "q")], f"round(greatest(0, least(1, 0.3 * det + 0.25 * greatest(0, least(1, least(w, h) / 150)) + 0.25 * blur + 0.2 * {POSE})), 6) as q", K)
 _face("f02_pose_of_angles", lambda: [rnd(Q.pose_of_angles(c("yaw"), c("pitch"), c("roll")), "pose")], f"round({POSE}, 6) as pose", K)
-_face("f03_pose_of_points", lambda: [F.round(Q.pose_of_points((c("x"), c("y")), (c("x") + c("w") * 0.4, c("y") + c("roll")), (c("x"), c("y") + c("h")), (c("x") + c("w") * 0.4, c("y") + c("h") + c("roll") / 2))  , 4).alias("pose")], "round((1 - least(abs(roll) / greatest(w * 0.4, 1) + abs(roll / 2) / greatest(w * 0.4, 1), 1) + 1 - least(abs(roll) / greatest(w * 0.4, 1), 1)) / 2, 4) as pose")
+_face("f03_pose_of_points", lambda: [F.round(Q.pose_of_points((c("x"), c("y")), (c("x") + c("w") * 0.4, c("y") + c("roll")), (c("x"), c("y") + c("h")), (c("x") + c("w") * 0.4, c("y") + c("h") + c("roll") / 2))  , 9).alias("pose")], "round((1 - least(abs(roll) / greatest(w * 0.4, 1) + abs(roll / 2) / greatest(w * 0.4, 1), 1) + 1 - least(abs(roll) / greatest(w * 0.4, 1), 1)) / 2, 9) as pose")
 _face("f04_area_score", lambda: [rnd(Q.area_score(c("w"), c("h")), "area")], "round(greatest(0, least(1, least(w, h) / 150)), 6) as area")
 _face("f05_eye_distance", lambda: [rnd(F.hypot(c("w") * 0.4, c("roll")), "eye")], "round(sqrt(power(w * 0.4, 2) + power(roll, 2)), 6) as eye")
 _face("f08_composite_quality", lambda: [rnd(comp(), "q")], f"round({COMP}, 6) as q", K)
