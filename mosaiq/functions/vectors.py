@@ -56,7 +56,9 @@ def l2(a, b) -> Column:
 
 
 def scale(a, factor: Column) -> Column:
-    return F.transform(_c(a), lambda x: x.cast("double") * factor)
+    """Every element times the factor, which is worked out once and not for each element."""
+    a = _c(a)
+    return F.zip_with(a, F.array_repeat(factor, F.size(a)), lambda x, f: x.cast("double") * f)
 
 
 def normalise(a, eps: float = 0.0) -> Column:
