@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import clusters, history, mixing, permknn, quality, tokens, topn
+from mosaiq.llm import clusters, describe, history, mixing, permknn, quality, tokens, topn
 from mosaiq.session import cut, read
 
 
@@ -17,6 +17,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return clusters.clusters(read(spark, d, "face_features"))
 
 
+def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
+    f = read(spark, d, "face_features")
+    return describe.describe(f, cut(clusters.clusters(f)), read(spark, d, "face_person_assignments"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     a = read(spark, d, "face_person_assignments")
     return topn.top_n(a, "person_id", "confidence", "face_id", "assignment_id", 10, 0.0, 1.0).select("person_id", "assignment_id")
@@ -89,7 +94,7 @@ def p8_figures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_ranked, p5_found, p5_neighbours, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_figures)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_clusters, p4_found, p4_ranked, p5_found, p5_neighbours, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_figures)}
 
 
 def oracle_sql() -> dict[str, str]:
