@@ -9,7 +9,9 @@ from mosaiq.functions.quality import fetch_k
 from mosaiq.operators.similarity import knn
 from mosaiq.operators.tables import best_per_group, delete, ranked
 
-ORDER = [F.desc("score"), F.col("image_id")]
+
+def _order() -> list:
+    return [F.desc("score"), F.col("image_id")]
 
 
 def image_search(queries: DataFrame, gallery: DataFrame, k: int = 10, least: float = 0.5, weight=None) -> DataFrame:
@@ -19,7 +21,7 @@ def image_search(queries: DataFrame, gallery: DataFrame, k: int = 10, least: flo
     hits = knn(queries, gallery, fetch_k(k, 4, 20)).where(F.col("score") >= least).where(F.col("rank") <= k).drop("rank")
     j = hits.join(gallery.select(F.col("face_id").alias("id"), "image_id", (weight if weight is not None else F.lit(1.0)).alias("_w")), "id")
     best = best_per_group(j, ["qid", "image_id"], [(F.col("score") * F.col("_w")).desc(), F.col("id")])
-    return ranked(best, ["qid"], ORDER).select("qid", F.col("rank").cast("bigint").alias("rank"), "image_id", F.col("id").alias("target_id"), "score")
+    return ranked(best, ["qid"], _order()).select("qid", F.col("rank").cast("bigint").alias("rank"), "image_id", F.col("id").alias("target_id"), "score")
 
 
 def person_search(prototypes: DataFrame, gallery: DataFrame, k: int = 10, least: float = 0.5) -> DataFrame:
@@ -29,7 +31,7 @@ def person_search(prototypes: DataFrame, gallery: DataFrame, k: int = 10, least:
     hits = knn(q, gallery, 4 * k).drop("rank").join(q.select("qid", "person"), "qid")
     j = hits.join(gallery.select(F.col("face_id").alias("id"), "image_id", "person_id"), "id").where("person = person_id")
     best = best_per_group(j.where(F.col("score") >= least), ["person", "image_id"], [F.desc("score"), F.col("id")])
-    top = ranked(best, ["person"], ORDER).where(F.col("rank") <= k)
+    top = ranked(best, ["person"], _order()).where(F.col("rank") <= k)
     return top.select("person", F.col("rank").cast("bigint").alias("rank"), "image_id", "score")
 
 
