@@ -89,28 +89,40 @@ def _unit32(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def nearest_in(a: np.ndarray, b: np.ndarray, ida: np.ndarray, idb: np.ndarray, pa_: np.ndarray, pb: np.ndarray, k: int, least: float):
-    """The k nearest of the raw vectors ``b`` for each of ``a`` (not itself): places in a and b, rounded cosines."""
-    (fa, na), (fb, nb) = _unit32(a), _unit32(b)
+    """Both ways between the raw vectors ``a`` and ``b``, or within ``a`` if they are the same: (row of a, its
+    neighbours in b) and (row of b, its neighbours in a), each as places and cosines rounded to 6 decimals. Every pair of
+    tiles is multiplied once."""
+    own = a is b
+    (fa, na), (fb, nb) = _unit32(a), (None, None) if own else _unit32(b)
+    fb, nb = (fa, na) if own else (fb, nb)
     tiles_a = [slice(s, min(s + TILE, len(a))) for s in range(0, len(a), TILE)]
     tiles_b = [slice(s, min(s + TILE, len(b))) for s in range(0, len(b), TILE)]
-    wa, wb = (_profiles(np.r_[pa_, pb], [slice(s.start + o, s.stop + o) for s in t]) for t, o in ((tiles_a, 0), (tiles_b, len(a)))) if len(tiles_b) > 1 else (None, None)
     keep = k + SPARE
-    rows, cols, sims = [], [], []
+    best_a, who_a = np.full((len(a), keep), np.float32(least - 1e-5)), np.full((len(a), keep), -1, np.int32)
+    best_b, who_b = (best_a, who_a) if own else (np.full((len(b), keep), np.float32(least - 1e-5)), np.full((len(b), keep), -1, np.int32))
+    ranked = len(tiles_a) > 1 or len(tiles_b) > 1
+    if ranked:
+        every = _profiles(np.r_[pa_, pb], tiles_a + [slice(s.start + len(a), s.stop + len(a)) for s in tiles_b])
+        wa, wb = every[: len(tiles_a)], every[len(tiles_a) :]
     for ta, sa in enumerate(tiles_a):
-        n = sa.stop - sa.start
-        best = np.full((n, keep), np.float32(least - 1e-5))
-        who = np.full((n, keep), -1, np.int64)
-        order = range(len(tiles_b)) if wa is None else np.argsort(np.abs(wa[ta] - wb).sum(axis=1), kind="stable")
-        for tb in order:
+        for tb in np.argsort(np.abs(wa[ta] - wb).sum(axis=1), kind="stable") if ranked else range(len(tiles_b)):
+            if own and tb < ta:
+                continue
             sb = tiles_b[tb]
             s = fa[sa] @ fb[sb].T
-            if ida is idb and sa.start == sb.start:
+            if own and tb == ta:
                 np.fill_diagonal(s, -2)
-            _merge(s, sb.start, best, who, keep)
-        r, c = np.nonzero(who >= 0)
-        rows.append(r + sa.start)
-        cols.append(who[r, c])
-    row, col = np.concatenate(rows), np.concatenate(cols)
+            _merge(s, sb.start, best_a[sa], who_a[sa], keep)
+            if not own or tb != ta:
+                _merge(np.ascontiguousarray(s.T), sa.start, best_b[sb], who_b[sb], keep)
+    out = [_rerank(a, b, na, nb, ida, idb, who_a, k, least)]
+    return out if own else [*out, _rerank(b, a, nb, na, idb, ida, who_b, k, least)]
+
+
+def _rerank(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, ida: np.ndarray, idb: np.ndarray, who: np.ndarray, k: int, least: float):
+    """Exact cosines of the candidates, and the k best of each row."""
+    row, place = np.nonzero(who >= 0)
+    col = who[row, place]
     ok = ida[row] != idb[col]
     row, col = row[ok], col[ok]
     exact = np.empty(len(row))
@@ -124,7 +136,7 @@ def nearest_in(a: np.ndarray, b: np.ndarray, ida: np.ndarray, idb: np.ndarray, p
     row, col, exact = row[order], col[order], exact[order]
     start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, int)
     rank = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)]))
-    return row[rank < k], col[rank < k], exact[rank < k]
+    return ida[row[rank < k]], idb[col[rank < k]], exact[rank < k]
 
 
 def _merge(s: np.ndarray, base: int, best: np.ndarray, who: np.ndarray, keep: int) -> None:
@@ -143,7 +155,7 @@ def _merge(s: np.ndarray, base: int, best: np.ndarray, who: np.ndarray, keep: in
 
 def _place(r: np.ndarray, c: np.ndarray, val: np.ndarray, best: np.ndarray, who: np.ndarray, keep: int) -> None:
     rows = np.unique(r)
-    old = who[rows].ravel()
+    old = who[rows].ravel().astype(np.int64)
     allr = np.r_[rows.repeat(keep), r]
     allv = np.r_[best[rows].ravel(), val]
     allc = np.r_[old, c]
@@ -167,17 +179,15 @@ def _search(table: pa.Table, k: int, least: float) -> pa.Table:
         return ids, x, perm
 
     if i == j:
-        own = sorted_side(None)
-        jobs = [(own, own)] if len(own[0]) > 1 else []
+        x = y = sorted_side(None)
     else:
-        a, b = sorted_side(0), sorted_side(1)
-        jobs = [(a, b), (b, a)] if len(a[0]) and len(b[0]) else []
+        x, y = sorted_side(0), sorted_side(1)
     out_id, out_nb, out_c = [], [], []
-    for (ida, a, pa_), (idb, b, pb) in jobs:
-        row, col, c = nearest_in(a, b, ida, idb, pa_, pb, k, least)
-        out_id.append(ida[row])
-        out_nb.append(idb[col])
-        out_c.append(np.rint(c * 1e6).astype(np.int32))
+    if len(x[0]) and len(y[0]) and (x is not y or len(x[0]) > 1):
+        for ident, near, cos in nearest_in(x[1], y[1], x[0], y[0], x[2], y[2], k, least):
+            out_id.append(ident)
+            out_nb.append(near)
+            out_c.append(np.rint(cos * 1e6).astype(np.int32))
     if not out_id or not sum(map(len, out_id)):
         return pa.table({"id": pa.array([], pa.int64()), "near": pa.array([], NEAR)})
     ident, nb, c = (np.concatenate(z) for z in (out_id, out_nb, out_c))
