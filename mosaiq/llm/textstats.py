@@ -25,6 +25,7 @@ _PIPE, _GAP, _TAB = regex.compile(r"\|"), regex.compile(r"(?<=\S) {2,}(?=\S)"),
 _WIDE_GAP = regex.compile(r"(?<=\S) {3,}(?=\S)")
 _SEMI = regex.compile(r";")
 _PAIR = regex.compile(r"^\s*[\p{L}\p{M}][\p{L}\p{M}\p{Nd}_ .\-]{0,28}\s*(?:=|:=|:|\t|->|=>)\s*\S.{0,80}$")
+_FIELD = regex.compile(r"[|;,]")
 _NAMED = regex.compile(r"^\s*[\p{L}\p{M}][\p{L}\p{M}\p{Nd}_ .\-]{0,28}(?:[:=]\s|=)")
 _RULE = regex.compile(r"^[\s|+\-=_:*#~<>.\p{S}]+$")
 _SEGMENT = regex.compile(r"[.!?…。！？;,；，、|•·\t\n]+| {2,}| - | – | / ")
@@ -77,7 +78,7 @@ def figures(text: str, common: dict[str, frozenset[str]]) -> Figures:
         share = hits / n_words
     else:
         n_words = len(words)
-        share = max((sum(w in ws for w in words) for ws in common.values()), default=0) / max(1, len(tokens), n_words)
+        share = max((sum(map(ws.__contains__, words)) for ws in common.values()), default=0) / max(1, len(tokens), n_words)
     size = max(1, sum(len(x) for x in lines))
     in_list = in_table = ended = short = 0
     for x in lines:
@@ -128,9 +129,9 @@ def _line_kind(x: str, words: int) -> int:
     if x.lstrip().startswith("|") and bars >= 3 or ('";"' in x) or ('","' in x):
         return 2
     fields = max(bars, semis, x.count(","))
-    digit_fields = sum(any(c.isdigit() for c in f) for f in regex.split(r"[|;,]", x))
-    if fields >= 2 and digit_fields >= (fields + 1) / 2 and words / (fields + 1) < 3:
-        return 2
+    if fields >= 2 and words / (fields + 1) < 3:
+        if sum(1 for f in _FIELD.split(x) if _DIGITS.search(f)) >= (fields + 1) / 2:
+            return 2
     if len(_HASHTAG.findall(x)) * 2 > len(x.split()):
         return 1
     if _MARKER.match(x) and words <= 14:
