@@ -307,3 +307,68 @@ def e14_e22_e25_margin_percentiles(s, d):
     m = class_bests(X.faces(s, d)).select(F.lit(0).alias("g"), F.round(c("same") - c("other"), 6).alias("m"))
     r = T.nearest_rank(m, ["g"], "m", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
     return r.select("n", F.round("mean", 6).alias("mean"), "p10", "p50", "p90")
+
+
+# ---- queries made of several vectors
+FUSED = f"""with {X.FACES}, {X.QUERIES}, pos as (select q.qid, f.det * (0.5 + f.blur) * (0.5 + f.quality) as wt, generate_subscripts(f.vector, 1) as pos, unnest(f.vector) as x from q join faces f on f.image_id = q.qimage),
+m as (select qid, pos, sum(x * wt) / sum(wt) as v from pos group by all having sum(wt) > 0), n as (select qid, sqrt(sum(v * v)) as n from m group by 1),
+v as (select qid, list(v / n order by pos) as qv from m join n using (qid) group by 1),
+hits as (select v.qid, face_id as id, round(list_dot_product(v.qv, f.vector), 6) as score from v, faces f where face_id <> v.qid)
+select qid, id, score, row_number() over (partition by qid order by score desc, id) as rank from hits qualify rank <= 10"""
+
+
+@R.query(FUSED)
+def s05_s12_search_by_image(s, d):
+    """All faces on the query's image fused into one vector by their weights, then the nearest faces."""
+    from mosaiq.functions import vectors as V
+    from mosaiq.operators.similarity import vector_sums
+
+    q, f = fq(s, d)
+    j = f.join(q.select("qid", c("qimage").alias("image_id")), "image_id")
+    g = vector_sums(j, "qid", "vector", F.expr("det * (0.5 + blur) * (0.5 + quality)")).where("weight > 0")
+    fused = g.select(c("key").alias("qid"), V.normalise(V.scale("sum", 1.0 / c("weight"))).alias("qv"))
+    return knn(fused, f, 10).select("qid", "id", "score", c("rank").cast("bigint").alias("rank"))
+
+
+CAT = f"""with {X.FACES}, b as (select identity, vector from faces qualify row_number() over (partition by identity order by det desc, face_id) <= 3),
+pos as (select identity, generate_subscripts(vector, 1) as pos, unnest(vector) as x from b), m as (select identity, pos, avg(x) as v from pos group by all),
+n as (select identity, sqrt(sum(v * v)) as n from m group by 1), p as (select identity, list(v / n order by pos) as qv from m join n using (identity) group by 1),
+h as (select -1 - p.identity as k, p.identity, face_id, round(list_dot_product(qv, f.vector), 6) as score from p, faces f)
+select identity as category, face_id as id, score from h qualify row_number() over (partition by identity order by score desc, face_id) <= 5"""
+
+
+@R.query(CAT)
+def s15_category_search(s, d):
+    """Mean of each category's three best detections, then the nearest faces."""
+    from mosaiq.functions import vectors as V
+    from mosaiq.operators.similarity import vector_sums
+
+    f = X.faces(s, d)
+    b = T.best_per_group(f.select("identity", "face_id", "det", "vector"), ["identity"], [F.desc("det"), c("face_id")], 3)
+    g = vector_sums(b, "identity", "vector")
+    q = g.select((-1 - c("key")).alias("qid"), V.normalise(V.scale("sum", 1.0 / c("weight"))).alias("qv"))
+    return knn(q, f, 5).select((-1 - c("qid")).cast("bigint").alias("category"), "id", "score")
+
+
+@R.query(f"with {X.FACES}, {X.QUERIES} select qid, round(avg(list_dot_product(qv, vector)) filter (where identity = qidentity), 6) as within, round(avg(list_dot_product(qv, vector)) filter (where identity <> qidentity), 6) as across from q, faces where face_id <> qid group by 1")
+def j16_query_and_gallery(s, d):
+    """Mean score of each query within and across identities, from sums of vectors: no pairs are formed."""
+    from mosaiq.functions import vectors as V
+    from mosaiq.operators.similarity import vector_sums
+
+    q, f = fq(s, d)
+    g = vector_sums(f, "identity", "vector").select(c("key").alias("qidentity"), "sum", "weight")
+    every = vector_sums(f.withColumn("one", F.lit(0)), "one", "vector").select(c("sum").alias("all"), c("weight").alias("n"))
+    j = q.join(g, "qidentity").join(F.broadcast(every))
+    own, total = V.dot("qv", "sum"), V.dot("qv", "all")
+    return j.select("qid", F.round((own - V.dot("qv", "qv")) / (c("weight") - 1), 6).alias("within"), F.round((total - own) / (c("n") - c("weight")), 6).alias("across"))
+
+
+@R.query(MARG + ", x as (select p.*, f.quality >= 0.5 as good from p join faces f using (face_id)), m as (select good, round(same - other, 6) as m, row_number() over (partition by good order by round(same - other, 6)) - 1 as k, count(*) over (partition by good) as n from x) select good, count(*) as n, round(avg(case when m > 0 then 1.0 else 0.0 end), 6) as positive, max(m) filter (where k = floor(0.1 * (n - 1) + 0.5)) as p10 from m group by 1")
+def e29_quality_filter(s, d):
+    """Margins of the faces that pass a quality filter beside those that don't."""
+    f = X.faces(s, d)
+    m = class_bests(f).select(c("id").alias("face_id"), F.round(c("same") - c("other"), 6).alias("m"))
+    x = m.join(f.select("face_id", (c("quality") >= 0.5).alias("good")), "face_id").withColumn("pos", F.when(c("m") > 0, 1.0).otherwise(0.0))
+    share = x.groupBy("good").agg(F.round(F.avg("pos"), 6).alias("positive"))
+    return T.nearest_rank(x, ["good"], "m", {"p10": 0.1}).join(share, "good").select("good", "n", "positive", "p10")
