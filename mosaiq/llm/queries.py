@@ -13,6 +13,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return history.find_repeats(read(spark, d, "images"), read(spark, d, "new_images"))
 
 
+def p1_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Records of each batch, and how many of them repeat an earlier one."""
+    n = read(spark, d, "new_images").where("new_image_id is not null").groupBy("new_image_id").agg(F.min("batch_id").alias("batch_id"))
+    hit = p1_found(spark, d).select(F.col("dup_id").alias("new_image_id"), F.lit(1).alias("hit"))
+    g = n.join(hit, "new_image_id", "left").groupBy("batch_id")
+    return g.agg(F.count(F.lit(1)).alias("records"), F.count("hit").alias("repeats"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return clusters.clusters(read(spark, d, "face_features"))
 
@@ -94,7 +102,7 @@ def p8_figures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_clusters, p4_found, p4_ranked, p5_found, p5_neighbours, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_figures)}
+    return {f.__name__: f for f in (p1_found, p1_batches, p3_found, p3_clusters, p4_found, p4_ranked, p5_found, p5_neighbours, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_figures)}
 
 
 def oracle_sql() -> dict[str, str]:
