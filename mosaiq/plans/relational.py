@@ -91,61 +91,61 @@ def src12_claim_task(s, d):
 
 # ---- predicates
 @q("select face_id, status from ff where status = 'indexed'")
-def p01_equality(s, d):
+def pred01_equality(s, d):
     return ff(s, d).where("status = 'indexed'").select("face_id", "status")
 
 
 @q("select (select count(*) from fa where person_id is null) as missing, (select count(*) from fa where person_id is not null) as present")
-def p02_null_tests(s, d):
+def pred02_null_tests(s, d):
     return fa(s, d).agg(F.count(F.when(c("person_id").isNull(), 1)).alias("missing"), F.count("person_id").alias("present"))
 
 
 @q("select face_id from ff where status = 'pending' and model_version = 'facenetlike-r50@v2.1.0'")
-def p03_composite(s, d):
+def pred03_composite(s, d):
     return ff(s, d).where("status = 'pending' and model_version = 'facenetlike-r50@v2.1.0'").select("face_id")
 
 
 @q("select assignment_id, person_id, similarity from fa where similarity::double >= 0.5 and confidence::double >= 0.6")
-def p04_thresholds(s, d):
+def pred04_thresholds(s, d):
     return fa(s, d).where("similarity >= 0.5 and confidence >= 0.6").select("assignment_id", "person_id", "similarity")
 
 
 @q("select method, status, count(*) as n from fa where method <> status group by all")
-def p05_inequality(s, d):
+def pred05_inequality(s, d):
     return fa(s, d).where("method != status").groupBy("method", "status").agg(N.alias("n"))
 
 
 @q("select fa.assignment_id, ff.image_id from fa join ff using (face_id) where ff.image_id <> 1278 and fa.person_id = 17")
-def p06_exclude_image(s, d):
+def pred06_exclude_image(s, d):
     return fa(s, d).where("person_id = 17").join(ff(s, d), "face_id").where("image_id != 1278").select("assignment_id", "image_id")
 
 
 @q("select assignment_id from fa where coalesce(lower(trim(status)), '') <> 'rejected'")
-def p07_active_only(s, d):
+def pred07_active_only(s, d):
     return fa(s, d).where(F.coalesce(norm_text(c("status")), F.lit("")) != "rejected").select("assignment_id")
 
 
 @q("select a.face_id, b.face_id as other from ff a join ff b on a.image_id = b.image_id and a.face_id <> b.face_id")
-def p08_not_itself(s, d):
+def pred08_not_itself(s, d):
     a, b = ff(s, d).select("face_id", "image_id"), ff(s, d).selectExpr("face_id as other", "image_id")
     return a.join(b, "image_id").where("face_id != other").select("face_id", "other")
 
 
 @q("select image_id from im where lower(scan_status) = 'indexed' and captured_at between timestamp '2015-01-01' and timestamp '2016-01-01' and face_count >= 2")
-def p09_optional_filter(s, d):
+def pred09_optional_filter(s, d):
     i = im(s, d).where(F.lower("scan_status") == "indexed")
     return i.where("captured_at between timestamp '2015-01-01' and timestamp '2016-01-01' and face_count >= 2").select("image_id")
 
 
 @q("select face_id, round(case when abs(yaw) > 45 then detector_score::double * 0.7 else detector_score::double end, 6) as score from ff where detector_score::double >= 0.5 and bbox_w > 20 and bbox_h > 20 and bbox_x >= 0 and bbox_y >= 0")
-def p10_detector_filter(s, d):
+def pred10_detector_filter(s, d):
     f = ff(s, d).where("detector_score >= 0.5 and bbox_w > 20 and bbox_h > 20 and bbox_x >= 0 and bbox_y >= 0")
     sc = F.when(F.abs("yaw") > 45, c("detector_score").cast("double") * 0.7).otherwise(c("detector_score").cast("double"))
     return f.select("face_id", F.round(sc, 6).alias("score"))
 
 
 @q("select face_id from ff where detector_score::double >= 0.3 and face_area_score::double >= 0.15 and pose_score::double >= 0.15 and quality_score::double >= 0.45")
-def p11_f07_quality_filter(s, d):
+def pred11_f07_quality_filter(s, d):
     return ff(s, d).where("detector_score >= 0.3 and face_area_score >= 0.15 and pose_score >= 0.15 and quality_score >= 0.45").select("face_id")
 
 
