@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.functions import geometry as G
 from mosaiq.functions import quality as Q
 from mosaiq.functions import vectors as V
+from mosaiq.operators import patches as P
 from mosaiq.operators import sequential as K
 from mosaiq.operators import similarity as S
 from mosaiq.operators import tables as T
@@ -154,6 +156,14 @@ def k16_two_detectors(s, d):
     return T.union_all([n(m, "both"), n(pa, "primary"), n(pb, "secondary")])
 
 
+@R.query()
+def s14_patch_search(s, d):
+    """Faces as descriptors with their boxes' corners as points; queries are each hundredth image."""
+    f = X.faces(s, d).select("image_id", "face_id", "x", "y", "vector")
+    cen = np.array([r.vector for r in f.where("face_id < 8").orderBy("face_id").collect()])
+    return P.patch_search(f.where("image_id % 100 = 0"), f, cen, ratio=0.99, least=1)
+
+
 @R.query()
 def g14_g15_ransac(s, d):
     """Point pairs of each identity: the second point is the first under a fixed map, for two in three."""
