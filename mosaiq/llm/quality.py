@@ -8,7 +8,8 @@ start). The posterior of the types follows from the levels.
 What reaches the driver are counts of level patterns, at most the product of the levels, whatever the number of texts.
 All texts take part in the counts.
 
-Defined cases: null, empty and blank texts have null figures and no type; equal texts have equal figures.
+Defined cases: null, empty and blank texts (white space and invisible characters only) have null figures
+and no type; equal texts have equal figures.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.textstats import Figures, figures
+from mosaiq.llm.textstats import Figures, blank, figures
 from mosaiq.session import save, spread
 
 TYPES = ("prose", "list", "table", "junk")
@@ -58,7 +59,7 @@ def _kinds() -> str:
 
 def _run(batches: Iterator[pa.RecordBatch], common: dict[str, frozenset[str]]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        got = [figures(t, common) if t is not None and t.strip() else None for t in b.column(1).to_pylist()]
+        got = [None if blank(t) else figures(t, common) for t in b.column(1).to_pylist()]
         cols = [
             pa.array([None if g is None else getattr(g, f.name) for g in got], pa.int64() if f.type in (int, "int") else pa.float64())
             for f in fields(Figures)

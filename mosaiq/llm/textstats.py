@@ -53,6 +53,10 @@ class Figures:
     short_lines: float  # share of lines of fewer than five words that end without punctuation
 
 
+def blank(text: str | None) -> bool:
+    return text is None or not _INVISIBLE.sub("", text).strip()
+
+
 def han(text: str) -> int:
     return len(_HAN.findall(text))
 

@@ -1,7 +1,7 @@
 import numpy as np
 
 from mosaiq.llm import quality
-from mosaiq.llm.textstats import figures
+from mosaiq.llm.textstats import blank, figures
 
 COMMON = [("en", w) for w in "the a and of to in it was we that is for on with as at by from not be".split()] + [("de", "und"), ("de", "die"), (None, "x"), ("en", None), ("zh", "我们"), ("zh", "了")]
 PROSE = [
@@ -17,7 +17,7 @@ OTHER = [
 
 
 def rows():
-    return [(k, t, 1) for k, t in enumerate(PROSE * 20 + OTHER * 3)] + [(1000, None, 1), (1001, "", 1), (1002, " \n\t", 1), (None, PROSE[0], 1)]
+    return [(k, t, 1) for k, t in enumerate(PROSE * 20 + OTHER * 3)] + [(1000, None, 1), (1001, "", 1), (1002, " \n\t", 1), (1003, "\u200b\ufeff ", 1), (None, PROSE[0], 1)]
 
 
 def test_types(spark):
@@ -26,7 +26,7 @@ def test_types(spark):
     got = {r.doc_id: r for r in quality.text_types(docs, words).collect()}
     for k, t, _ in rows():
         r = got[k]
-        if t is None or not t.strip():
+        if blank(t):
             assert r.text_type is None and r.p_prose is None and r.n_words is None
         else:
             assert (r.p_prose >= 0.5) == (t in PROSE), (t, r)
