@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -9,7 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, whatever their working folder is. Machines
+    that don't share that folder need the package installed or shipped (``--py-files``)."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    share_code(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
