@@ -2,28 +2,28 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
 import regex
 
 #: Line ends of all sorts.
-LINES = regex.compile(r"\r\n|[\n\r\v\f\x1c-\x1e\x85  ]")
-_INVISIBLE = regex.compile(r"[­​-‏⁠﻿]")
+LINES = regex.compile(r"\r\n|[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]")
+_INVISIBLE = regex.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff]")
 _WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’\-][\p{L}\p{M}]+)*")
 _LETTERS, _DIGITS = regex.compile(r"[\p{L}\p{M}]+"), regex.compile(r"\p{Nd}+")
-_TOKEN = regex.compile(r"\S+")
+#: The same for ASCII texts, by the faster standard library.
+_ASCII_WORD, _ASCII_LETTERS = re.compile(r"[A-Za-z]+(?:['\-][A-Za-z]+)*"), re.compile(r"[A-Za-z]+")
 _HAN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Thai}]")
 _END = regex.compile(r"[.!?…。！？][\"'”’»)\]*_]*\s*$")
 _STOP = regex.compile(r"[.!?…。！？]+[\"'”’»)\]]*(?:\s|$)|[。！？]")
 _MARKER = regex.compile(r"^\s*(?:[-*•·‣◦▪●○■□–—+>☐☑☒✓✔✗→]+|\[[ xX✓]?\]|\(?\p{Nd}{1,3}[.)]|\(?\p{L}[.)]|\p{Nd}{1,3}\s*[-–:])\s+\S")
-_TAG_LINE = regex.compile(r"^\s*#\S")
 _HASHTAG = regex.compile(r"(?<!\S)#[\p{L}\p{Nd}]\S*")
 _MARKUP = regex.compile(r"</?[a-zA-Z][^<>]*>|&\p{L}{2,8};|\{\{[^{}]*\}\}")
 _CELL = regex.compile(r"</?(?:t[drh]|table|tbody|thead)\b", regex.I)
-_PIPE, _GAP, _TAB = regex.compile(r"\|"), regex.compile(r"(?<=\S) {2,}(?=\S)"), regex.compile(r"\t")
+_GAP = regex.compile(r"(?<=\S) {2,}(?=\S)")
 _WIDE_GAP = regex.compile(r"(?<=\S) {3,}(?=\S)")
-_SEMI = regex.compile(r";")
 _PAIR = regex.compile(r"^\s*[\p{L}\p{M}][\p{L}\p{M}\p{Nd}_ .\-]{0,28}\s*(?:=|:=|:|\t|->|=>)\s*\S.{0,80}$")
 _FIELD = regex.compile(r"[|;,]")
 _NAMED = regex.compile(r"^\s*[\p{L}\p{M}][\p{L}\p{M}\p{Nd}_ .\-]{0,28}(?:[:=]\s|=)")
@@ -58,20 +58,21 @@ def blank(text: str | None) -> bool:
 
 
 def han(text: str) -> int:
-    return len(_HAN.findall(text))
+    return 0 if text.isascii() else len(_HAN.findall(text))
 
 
 def figures(text: str, common: dict[str, frozenset[str]]) -> Figures:
     """``common``: words of each language, lower case. The language that fits best counts, whatever the row says."""
-    t = _INVISIBLE.sub("", text).replace(" ", " ").replace("　", " ")
-    tokens = _TOKEN.findall(t)
+    t = _INVISIBLE.sub("", text).replace("\u00a0", " ").replace("\u3000", " ")
+    tokens = t.split()
     solid = sum(map(len, tokens))
     lines = [x for x in LINES.split(t) if x.strip()]
     wide = han(t)
     cjk = wide > 0.3 * max(1, solid)
     low = t.lower()
-    words = _WORD.findall(low)
-    alnum = sum(map(len, _LETTERS.findall(t)))
+    plain = t.isascii()
+    words = (_ASCII_WORD if plain else _WORD).findall(low)
+    alnum = sum(map(len, (_ASCII_LETTERS if plain else _LETTERS).findall(t)))
     digits = sum(map(len, _DIGITS.findall(t)))
     if cjk:
         # no blanks between words: two characters make a word, common words are looked for anywhere
@@ -86,7 +87,7 @@ def figures(text: str, common: dict[str, frozenset[str]]) -> Figures:
     size = max(1, sum(len(x) for x in lines))
     in_list = in_table = ended = short = 0
     for x in lines:
-        lw = _count(x, cjk)
+        lw = n_words if len(lines) == 1 and not cjk else _count(x, cjk)
         end = bool(_END.search(x))
         ended += end
         short += lw < 5 and not end
@@ -96,14 +97,15 @@ def figures(text: str, common: dict[str, frozenset[str]]) -> Figures:
     if _regular(lines):
         in_table = size
     odd = sum(1 for w in tokens if _is_odd(w)) / max(1, len(tokens)) if not cjk else 0.0
-    segments = [s for s in (_count(x, cjk) for x in _SEGMENT.split("\n".join(lines))) if s]
-    sentences = [s for s in (_count(x, cjk) for x in _STOP.split(" ".join(lines))) if s]
+    has_words = (_HAN if cjk else _ASCII_LETTERS if plain else _LETTERS).search
+    segments = sum(1 for x in _SEGMENT.split("\n".join(lines)) if has_words(x))
+    sentences = sum(1 for x in _STOP.split(" ".join(lines)) if has_words(x))
     units = _HAN.findall(t) if cjk else [w.lower() for w in tokens]
     return Figures(
         len(text), n_words, sum(map(len, words)) / max(1, len(words)), (solid - alnum - digits) / max(1, solid),
         digits / max(1, solid), len(lines), ended / max(1, len(lines)), share, in_list / size, in_table / size,
-        sum(len(m) for m in _MARKUP.findall(t)) / max(1, len(t)), odd, len(set(units)) / max(1, len(units)),
-        n_words / max(1, len(segments)), n_words / max(1, len(sentences)), short / max(1, len(lines)),
+        sum(len(m) for m in _MARKUP.findall(t)) / max(1, len(t)) if "<" in t or "&" in t or "{{" in t else 0.0, odd, len(set(units)) / max(1, len(units)),
+        n_words / max(1, segments), n_words / max(1, sentences), short / max(1, len(lines)),
     )
 
 
@@ -120,14 +122,17 @@ def _regular(lines: list[str]) -> bool:
 
 
 def _count(x: str, cjk: bool) -> int:
-    return (len(_HAN.findall(x)) + 1) // 2 if cjk else len(_WORD.findall(x))
+    if cjk:
+        return (len(_HAN.findall(x)) + 1) // 2
+    return len((_ASCII_WORD if x.isascii() else _WORD).findall(x))
 
 
 def _line_kind(x: str, words: int) -> int:
     """0 none, 1 item of a list, 2 row of fields."""
-    cells = len(_CELL.findall(x))
-    bars, tabs, gaps, semis = len(_PIPE.findall(x)), len(_TAB.findall(x.strip())), len(_GAP.findall(x)), len(_SEMI.findall(x))
-    wide = len(_WIDE_GAP.findall(x))
+    cells = len(_CELL.findall(x)) if "<" in x else 0
+    bars, tabs, semis = x.count("|"), x.strip().count("\t"), x.count(";")
+    spaced = "  " in x.strip()
+    gaps, wide = (len(_GAP.findall(x)), len(_WIDE_GAP.findall(x))) if spaced else (0, 0)
     if (wide and words / (wide + 1) < 4.5) or cells >= 2 or tabs >= 2 or (gaps >= 2 and words / (gaps + 1) < 4) or (len(x) > 3 and _RULE.match(x) and bars >= 2):
         return 2
     if x.lstrip().startswith("|") and bars >= 3 or ('";"' in x) or ('","' in x):
@@ -136,7 +141,7 @@ def _line_kind(x: str, words: int) -> int:
     if fields >= 2 and words / (fields + 1) < 3:
         if sum(1 for f in _FIELD.split(x) if _DIGITS.search(f)) >= (fields + 1) / 2:
             return 2
-    if len(_HASHTAG.findall(x)) * 2 > len(x.split()):
+    if "#" in x and len(_HASHTAG.findall(x)) * 2 > len(x.split()):
         return 1
     if _MARKER.match(x) and words <= 14:
         return 1
