@@ -4,8 +4,8 @@ Every vector is represented by its nearest pivots in order (``PREFIX`` of them).
 its first ``POSTINGS`` pivots; a vector alike to a pivot (cosine ``least`` or more) only in that pivot's, since all of
 its group are there. Within a posting list, vectors are sorted by permutation and cut into tiles; for every tile the
 others are visited in the order of their footrule distance, so the k-th best cosine found so far is high from early on
-and little of the farther tiles is kept, and what is kept is reranked by the exact cosine in double precision. Lists too long
-for one task are cut into chunks, and every pair of chunks is a task (see ``vectors``); nothing is capped or dropped.
+and little of the farther tiles is left. Single precision only excludes; what is within its error of the k-th best is
+ranked by the exact cosine, rounded, and the id, however many are alike. Lists too long for one task are cut into chunks, and every pair of chunks is a task (see ``vectors``); nothing is capped or dropped.
 
 What is approximate: two alike vectors that are neither alike to a pivot nor share one of their first ``POSTINGS``
 pivots don't meet. Measured recall is in the README.
@@ -29,8 +29,11 @@ from mosaiq.session import spread
 PREFIX = 8
 POSTINGS = 4
 TILE = 2048
-#: Candidates kept beyond k, so that single precision can't cost a neighbour before the exact rerank.
-SPARE = 3
+#: What a cosine of 128 elements in single precision may be off the exact one, rounded to 6 decimals.
+ERROR = 1e-5
+#: Candidates of a row in a tile from which they are compared as a matrix.
+MANY = 64
+NOBODY = np.iinfo(np.int64).max
 
 
 def _lists(v: np.ndarray, mv: np.ndarray, p: V.Pivots, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,83 +92,119 @@ def _unit32(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def nearest_in(a: np.ndarray, b: np.ndarray, ida: np.ndarray, idb: np.ndarray, pa_: np.ndarray, pb: np.ndarray, k: int, least: float):
-    """Both ways between the raw vectors ``a`` and ``b``, or within ``a`` if they are the same: (row of a, its
-    neighbours in b) and (row of b, its neighbours in a), each as places and cosines rounded to 6 decimals. Every pair of
-    tiles is multiplied once."""
+    """Both ways between the raw vectors ``a`` and ``b``, or within ``a`` if they are the same: ids of the rows of a and
+    of their neighbours in b, and the other way round, with cosines rounded to 6 decimals. Every pair of tiles is
+    multiplied once."""
     own = a is b
-    (fa, na), (fb, nb) = _unit32(a), (None, None) if own else _unit32(b)
-    fb, nb = (fa, na) if own else (fb, nb)
-    tiles_a = [slice(s, min(s + TILE, len(a))) for s in range(0, len(a), TILE)]
-    tiles_b = [slice(s, min(s + TILE, len(b))) for s in range(0, len(b), TILE)]
-    keep = k + SPARE
-    best_a, who_a = np.full((len(a), keep), np.float32(least - 1e-5)), np.full((len(a), keep), -1, np.int32)
-    best_b, who_b = (best_a, who_a) if own else (np.full((len(b), keep), np.float32(least - 1e-5)), np.full((len(b), keep), -1, np.int32))
-    ranked = len(tiles_a) > 1 or len(tiles_b) > 1
+    x = _Side(a, ida, k, least)
+    y = x if own else _Side(b, idb, k, least)
+    ranked = len(x.tiles) > 1 or len(y.tiles) > 1
     if ranked:
-        every = _profiles(np.r_[pa_, pb], tiles_a + [slice(s.start + len(a), s.stop + len(a)) for s in tiles_b])
-        wa, wb = every[: len(tiles_a)], every[len(tiles_a) :]
-    for ta, sa in enumerate(tiles_a):
-        for tb in np.argsort(np.abs(wa[ta] - wb).sum(axis=1), kind="stable") if ranked else range(len(tiles_b)):
+        every = _profiles(np.r_[pa_, pb], x.tiles + [slice(s.start + len(a), s.stop + len(a)) for s in y.tiles])
+        wa, wb = every[: len(x.tiles)], every[len(x.tiles) :]
+    for ta, sa in enumerate(x.tiles):
+        for tb in np.argsort(np.abs(wa[ta] - wb).sum(axis=1), kind="stable") if ranked else range(len(y.tiles)):
             if own and tb < ta:
                 continue
-            sb = tiles_b[tb]
-            s = fa[sa] @ fb[sb].T
+            sb = y.tiles[tb]
+            s = x.unit[sa] @ y.unit[sb].T
             if own and tb == ta:
                 np.fill_diagonal(s, -2)
-            _merge(s, sb.start, best_a[sa], who_a[sa], keep)
+            _merge(s, x, sa, y, sb, k, least)
             if not own or tb != ta:
-                _merge(np.ascontiguousarray(s.T), sa.start, best_b[sb], who_b[sb], keep)
-    out = [_rerank(a, b, na, nb, ida, idb, who_a, k, least)]
-    return out if own else [*out, _rerank(b, a, nb, na, idb, ida, who_b, k, least)]
+                _merge(np.ascontiguousarray(s.T), y, sb, x, sa, k, least)
+    return [x.found()] if own else [x.found(), y.found()]
 
 
-def _rerank(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, ida: np.ndarray, idb: np.ndarray, who: np.ndarray, k: int, least: float):
-    """Exact cosines of the candidates, and the k best of each row."""
-    row, place = np.nonzero(who >= 0)
-    col = who[row, place]
-    ok = ida[row] != idb[col]
-    row, col = row[ok], col[ok]
-    exact = np.empty(len(row))
+class _Side:
+    """Raw vectors with their ids, and the k best of each row so far: exact cosines and ids, in order."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, k: int, least: float) -> None:
+        self.raw, self.ids = x, ids
+        self.unit, self.norm = _unit32(x)
+        self.tiles = [slice(s, min(s + TILE, len(x))) for s in range(0, len(x), TILE)]
+        self.best = np.full((len(x), k), least - 1e-5)
+        self.who = np.full((len(x), k), NOBODY)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, place = np.nonzero(self.who != NOBODY)
+        return self.ids[row], self.who[row, place], self.best[row, place]
+
+
+def _exact(x: _Side, row: np.ndarray, y: _Side, col: np.ndarray) -> np.ndarray:
+    out = np.empty(len(row))
     for s in range(0, len(row), 1 << 14):
         e = slice(s, s + (1 << 14))
-        exact[e] = np.einsum("ij,ij->i", a[row[e]].astype(np.float64), b[col[e]].astype(np.float64))
-    exact = np.round(exact / (na[row] * nb[col]), 6)
-    ok = exact >= least
-    row, col, exact = row[ok], col[ok], exact[ok]
-    order = np.lexsort((idb[col], -exact, row))
-    row, col, exact = row[order], col[order], exact[order]
-    start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, int)
-    rank = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)]))
-    return ida[row[rank < k]], idb[col[rank < k]], exact[rank < k]
-
-
-def _merge(s: np.ndarray, base: int, best: np.ndarray, who: np.ndarray, keep: int) -> None:
-    """Put the cosines of a tile into the best so far, in place."""
-    hit = s > best[:, -1:]
+        out[e] = np.einsum("ij,ij->i", x.raw[row[e]].astype(np.float64), y.raw[col[e]].astype(np.float64))
+    return np.round(out / (x.norm[row] * y.norm[col]), 6)
+
+
+def _merge(s: np.ndarray, x: _Side, sx: slice, y: _Side, sy: slice, k: int, least: float) -> None:
+    """Put the cosines of a tile into the best so far of x, in place. Single precision only leaves out what can't be
+    among the k best by a margin of ``ERROR``; all others are ranked by the exact cosine and the id."""
+    last, top = x.best[sx, -1], x.who[sx, -1]
+    hit = s >= (last - ERROR).astype(np.float32)[:, None]
+    full = np.flatnonzero(last >= 1)  # no cosine is higher: only smaller ids count
+    if len(full):
+        hit[full] &= y.ids[sy][None, :] < top[full, None]
     n = hit.sum(axis=1)
-    many = np.flatnonzero(n > 64)
+    many = np.flatnonzero(n > MANY)
     if len(many):
-        c = np.argpartition(-s[many], keep - 1, axis=1)[:, :keep]
-        _place(many.repeat(keep), c.ravel() + base, np.take_along_axis(s[many], c, axis=1).ravel(), best, who, keep)
-        hit[many] = False
+        z = np.where(hit[many], s[many], np.float32(-2))
+        kth = min(k, z.shape[1] - 1)
+        hit[many] &= z >= -np.partition(-z, kth, axis=1)[:, kth : kth + 1] - np.float32(2 * ERROR)
+        n[many] = hit[many].sum(axis=1)
+    tied = np.flatnonzero(n > MANY)  # too many alike for single precision: all of the tile in double precision
+    if len(tied):
+        hit[tied] = False
+        _place(*_ranked(tied + sx.start, x, y, sy, k), x, k, least)
     r, c = np.nonzero(hit)
     if len(r):
-        _place(r, c + base, s[r, c], best, who, keep)
+        order = np.lexsort((-s[r, c], r))
+        r, c = r[order], c[order]
+        v = s[r, c]
+        start = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+        length = np.diff(np.r_[start, len(r)])
+        kth = v[np.minimum(start + k, start + length - 1)]  # one more than k, as a row may meet its own id
+        ok = v >= np.repeat(np.where(length > k, kth, -2), length) - np.float32(2 * ERROR)
+        r, c = r[ok] + sx.start, c[ok] + sy.start
+        ok = x.ids[r] != y.ids[c]
+        r, c = r[ok], c[ok]
+        _place(r, y.ids[c], _exact(x, r, y, c), x, k, least)
+
+
+def _ranked(rows: np.ndarray, x: _Side, y: _Side, sy: slice, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row of x its k best in a tile of y, by cosine and smaller id: (row, id, cosine)."""
+    by_id = np.argsort(y.ids[sy]) + sy.start
+    b = (y.raw[by_id].astype(np.float64) / y.norm[by_id, None]).T
+    k = min(k, len(by_id))
+    out = []
+    for s in range(0, len(rows), 512):
+        r = rows[s : s + 512]
+        key = np.rint((x.raw[r].astype(np.float64) / x.norm[r, None]) @ b * 1e6)
+        key[x.ids[r][:, None] == y.ids[by_id][None, :]] = -2e6
+        key = key * TILE - np.arange(len(by_id))  # whole numbers, all different in a row
+        out.append(by_id[np.argpartition(-key, k - 1, axis=1)[:, :k]])
+    row, col = rows.repeat(k), np.concatenate(out).ravel()
+    ok = x.ids[row] != y.ids[col]
+    row, col = row[ok], col[ok]
+    return row, y.ids[col], _exact(x, row, y, col)
 
 
-def _place(r: np.ndarray, c: np.ndarray, val: np.ndarray, best: np.ndarray, who: np.ndarray, keep: int) -> None:
+def _place(r: np.ndarray, ids: np.ndarray, val: np.ndarray, x: _Side, k: int, least: float) -> None:
+    ok = val >= least
+    r, ids, val = r[ok], ids[ok], val[ok]
     rows = np.unique(r)
-    old = who[rows].ravel().astype(np.int64)
-    allr = np.r_[rows.repeat(keep), r]
-    allv = np.r_[best[rows].ravel(), val]
-    allc = np.r_[old, c]
-    order = np.lexsort((allc, -allv, allr))
-    allr, allv, allc = allr[order], allv[order], allc[order]
-    start = np.flatnonzero(np.r_[True, allr[1:] != allr[:-1]])
+    allr = np.r_[rows.repeat(k), r]
+    allv = np.r_[x.best[rows].ravel(), val]
+    alli = np.r_[x.who[rows].ravel(), ids]
+    order = np.lexsort((alli, -allv, allr))
+    allr, allv, alli = allr[order], allv[order], alli[order]
+    start = np.flatnonzero(np.r_[True, allr[1:] != allr[:-1]]) if len(allr) else np.zeros(0, int)
     rank = np.arange(len(allr)) - np.repeat(start, np.diff(np.r_[start, len(allr)]))
-    top = rank < keep
-    best[allr[top], rank[top]] = allv[top]
-    who[allr[top], rank[top]] = allc[top]
+    top = rank < k
+    x.best[allr[top], rank[top]] = allv[top]
+    x.who[allr[top], rank[top]] = alli[top]
 
 
 def _search(table: pa.Table, k: int, least: float) -> pa.Table:

@@ -109,3 +109,28 @@ def test_description(spark, data, part):
     assert big.typical[0] in {own[j] for j in np.argsort(-c)[:3]}
     assert d[min(x for x in d if d[x].n_persons)].n_persons >= 1
     cl.unpersist()
+
+
+@pytest.mark.parametrize("noise", [0, 1e-4])
+def test_neighbours_among_thousands_of_copies(noise):
+    """All cosines of a group round to few values, so the smaller ids decide, across tiles too."""
+    rng = np.random.default_rng(5)
+    n = 2 * permknn.TILE + 900
+    x = (rng.normal(size=(4, 128))[rng.integers(0, 2, n)] + noise * rng.normal(size=(n, 128))).astype(np.float32)
+    ids = rng.permutation(10 * n)[:n].astype(np.int64)
+    d = x.astype(np.float64)
+    d /= np.linalg.norm(d, axis=1)[:, None]
+    perm = np.zeros((n, permknn.PREFIX), np.int16)
+    half = n // 3
+    for a, b in ((slice(None), slice(None)), (slice(0, half), slice(half, n))):
+        xa, ia = x[a], ids[a]
+        xb, ib = (xa, ia) if a == b else (x[b], ids[b])
+        out = permknn.nearest_in(xa, xb, ia, ib, perm[a], perm[b], 5, 0.75)
+        for (da, ja, db, jb), (who, near, cos) in zip(((d[a], ia, d[b], ib), (d[b], ib, d[a], ia)), out):
+            got = {}
+            for w, m, v in zip(who.tolist(), near.tolist(), cos.tolist()):
+                got.setdefault(w, []).append((-v, m))
+            for k in range(0, len(ja), 37):
+                c = np.round(db @ da[k], 6)
+                want = sorted((-v, int(m)) for v, m in zip(c, jb) if v >= 0.75 and m != ja[k])[:5]
+                assert sorted(got[int(ja[k])]) == want
