@@ -134,3 +134,27 @@ def test_neighbours_among_thousands_of_copies(noise):
                 c = np.round(db @ da[k], 6)
                 want = sorted((-v, int(m)) for v, m in zip(c, jb) if v >= 0.75 and m != ja[k])[:5]
                 assert sorted(got[int(ja[k])]) == want
+
+
+def test_loose_clusters_are_split_at_any_size(spark):
+    """Two chained clusters over several chunks give the groups that they give in one task."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for c, n in ((0, 400), (1000, 300)):
+        a = np.sort(rng.uniform(0, 1.5 * np.pi, n))
+        x = np.zeros((n, 128))
+        x[:, c // 1000 * 2], x[:, c // 1000 * 2 + 1] = np.cos(a), np.sin(a)
+        x += 0.02 * rng.normal(size=x.shape)
+        rows += [(c + int(k), [float(z) for z in x[k]], "m", c) for k in range(n)]
+    rows += [(5000 + k, [1.0] * 127 + [0.001 * k], "m", 5000) for k in range(150)]  # heavy, but not loose
+    f = spark.createDataFrame([r[:3] for r in rows], "face_id bigint, embedding array<float>, model_version string").repartition(3)
+    cl = spark.createDataFrame([(r[3], r[0]) for r in rows], "cluster_id bigint, face_id bigint")
+    small = {r.face_id: r for r in describe.groups(f, cl).collect()}
+    assert len({r.group_id for r in small.values()}) > 6
+    for part, step in ((100, 4), (350, 1000)):
+        got = {r.face_id: r for r in describe.groups(f, cl, part=part, step=step).collect()}
+        assert len(got) == len(rows)
+        for i, r in got.items():
+            want = small[i]
+            assert (r.cluster_id, r.group_id, r["size"], r.loose) == (want.cluster_id, want.group_id, want["size"], want.loose)
+            assert abs(r.mean_cosine - want.mean_cosine) < 1e-4 and abs(r.centrality - want.centrality) < 1e-4
