@@ -155,6 +155,17 @@ def v25_set_similarity(s, d):
     return S.label_pair_bests(g).select("p", "q", F.greatest("score", F.lit(0.0)).alias("score"))
 
 
+WHOLE_SETS = f"""with {X.FACES} select a.person_id as p, b.person_id as q, round(greatest(max(list_dot_product(a.vector, b.vector)), 0), 6) as score
+from faces a join faces b on a.person_id < b.person_id group by all"""
+
+
+@R.query(WHOLE_SETS)
+def v25_set_similarity_whole(s, d):
+    """Best pair between the galleries of two persons, of all of their faces."""
+    g = assigned(s, d).select("face_id", "person_id", "vector")
+    return S.label_pair_bests(g).select("p", "q", F.greatest("score", F.lit(0.0)).alias("score"))
+
+
 @R.query(f"with {X.FACES}, {X.QUERIES}, s as (select qid, f.face_id, round(list_dot_product(qv, f.vector), 6) as score from q join faces f on f.person_id = q.qidentity and f.face_id <> qid) select qid, face_id, score from s qualify row_number() over (partition by qid order by score desc, face_id) = 1")
 def v26_best_of_set(s, d):
     q = X.face_queries(X.faces(s, d))

@@ -92,3 +92,18 @@ def test_gap_to_next_lower(spark):
     df = spark.createDataFrame([(1, 0.9), (1, 0.9), (1, 0.7), (1, 0.2)], "g int, s double")
     got = sorted((r.s, None if r.margin is None else round(r.margin, 6)) for r in T.gap_to_next_lower(df, "g", "s").collect())
     assert got == [(0.2, None), (0.7, 0.5), (0.9, 0.2), (0.9, 0.2)]
+
+
+def test_label_pair_bests_of_all_rows(spark):
+    """The whole query's score of every pair of persons is the best of all of their faces."""
+    import __spark_entry__ as entry
+    from mosaiq.plans import fixtures
+
+    d = "/root/testdata/sf0.001"
+    f = [r for r in fixtures.faces(spark, d).select("person_id", "vector").collect() if r.person_id is not None]
+    x, p = np.array([r.vector for r in f]), np.array([r.person_id for r in f])
+    s = x @ x.T
+    names = np.unique(p).tolist()
+    want = {(a, b): max(0.0, s[np.ix_(p == a, p == b)].max()) for a in names for b in names if a < b}
+    got = {(r.p, r.q): r.score for r in entry.queries()["v25_set_similarity_whole"](spark, d).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
