@@ -90,6 +90,31 @@ def knn(queries: DataFrame, gallery: DataFrame, k: int, qid: str = "qid", qv: st
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def knn_within(queries: DataFrame, gallery: DataFrame, k: int, label: str, ident: str = "face_id", vector: str = "vector", digits: int = 6, block: int = BLOCK) -> DataFrame:
+    """``label, qid, id, score, rank``: as ``knn``, among the rows of the gallery with the query's label. A label's rows
+    are cut into blocks, and every pair of blocks is a task. Rows without a label are left out."""
+    rows = lambda x: x.select(F.col(label).cast("bigint").alias("c"), F.col(ident).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("c is not null and id is not null and v is not null")
+    blocks = lambda x, n: x.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    q, g = rows(queries), rows(gallery)
+    sizes = blocks(q, "nq").join(blocks(g, "ng"), "c")
+    a = q.join(sizes, "c").select("c", "id", "v", own("nq").alias("i"), every("ng").alias("j"))
+    b = g.join(sizes, "c").select("c", "id", "v", own("ng").alias("j"), every("nq").alias("i"))
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return pa.schema([("c", pa.int64()), ("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]).empty_table()
+        gi, gm = y.column("id").to_numpy(), matrix(y.column("v"))
+        qi, qm = x.column("id").to_numpy(), matrix(x.column("v"))
+        t = pa.Table.from_batches([_top(qi[s : s + 1024], qm[s : s + 1024], gi, gm, k, digits) for s in range(0, len(qi), 1024)])
+        return t.add_column(0, "c", pa.array(np.full(t.num_rows, x.column("c")[0].as_py()), pa.int64()))
+
+    hits = a.groupBy("c", "i", "j").cogroup(b.groupBy("c", "i", "j")).applyInArrow(meet, f"c bigint, {HITS}")
+    w = Window.partitionBy("c", "qid").orderBy(F.desc("score"), "id")
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("c", label)
+
+
 def _block_pairs(df: DataFrame, ident: str, vector: str, label: str, block: int) -> DataFrame:
     rows = df.select(F.col(ident).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("bigint").alias("c"))
     rows = rows.where("id is not null and v is not null")

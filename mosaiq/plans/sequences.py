@@ -89,19 +89,37 @@ f as (select a, max(b) filter (where ra = 1) as b, max(s) filter (where ra = 1)
 select f.a, f.b, f.s1 as score from f join x on x.a = f.a and x.b = f.b where x.rb = 1 and round(sqrt(greatest(2 - 2 * f.s1, 0)), 6) < round(0.98 * sqrt(greatest(2 - 2 * coalesce(f.s2, -1e9), 0)), 6)"""
 
 
+def _ratio_matches(ab: DataFrame, ba: DataFrame, *keys: str) -> DataFrame:
+    """``ab``: the two best of each a, ``ba``: the best of each b; ``keys`` are the columns that both have beside."""
+    pick = lambda k, v: F.max(F.when(c("rank") == k, c(v)))
+    near = ab.groupBy(*keys, c("qid").alias("a")).agg(pick(1, "id").alias("b"), pick(1, "score").alias("s1"), pick(2, "score").alias("s2"))
+    j = near.join(ba.select(*keys, c("qid").alias("b"), c("id").alias("a")), [*keys, "a", "b"])
+    dist = lambda x: F.sqrt(F.greatest(2 - 2 * x, F.lit(0.0)))
+    ok = F.round(dist(c("s1")), 6) < F.round(0.98 * dist(F.coalesce("s2", F.lit(-1e9))), 6)
+    return j.where(ok).select(*keys, "a", "b", c("s1").alias("score"))
+
+
 @R.query(MATCH)
 def k07_ratio_match(s, d):
     """Mutual nearest neighbours whose distance is under .98 of the second one's; a single candidate always passes."""
     f = X.faces(s, d).where("identity = 0")
     a, b = f.where("face_id % 2 = 0"), f.where("face_id % 2 = 1")
     q = lambda x: x.select(c("face_id").alias("qid"), c("vector").alias("qv"))
-    ab, ba = S.knn(q(a), b, 2), S.knn(q(b), a, 1)
-    pick = lambda k, v: F.max(F.when(c("rank") == k, c(v)))
-    near = ab.groupBy(c("qid").alias("a")).agg(pick(1, "id").alias("b"), pick(1, "score").alias("s1"), pick(2, "score").alias("s2"))
-    j = near.join(ba.select(c("qid").alias("b"), c("id").alias("a")), ["a", "b"])
-    dist = lambda x: F.sqrt(F.greatest(2 - 2 * x, F.lit(0.0)))
-    ok = F.round(dist(c("s1")), 6) < F.round(0.98 * dist(F.coalesce("s2", F.lit(-1e9))), 6)
-    return j.where(ok).select("a", "b", c("s1").alias("score"))
+    return _ratio_matches(S.knn(q(a), b, 2), S.knn(q(b), a, 1))
+
+
+WHOLE_MATCH = f"""with {X.FACES}, p as (select a.identity, a.face_id as a, b.face_id as b, round(list_dot_product(a.vector, b.vector), 6) as s from faces a join faces b on a.identity = b.identity and a.face_id % 2 = 0 and b.face_id % 2 = 1),
+x as (select *, row_number() over (partition by a order by s desc, b) as ra, row_number() over (partition by b order by s desc, a) as rb from p),
+f as (select a, max(b) filter (where ra = 1) as b, max(s) filter (where ra = 1) as s1, max(s) filter (where ra = 2) as s2 from x group by a)
+select x.identity, f.a, f.b, f.s1 as score from f join x on x.a = f.a and x.b = f.b where x.rb = 1 and round(sqrt(greatest(2 - 2 * f.s1, 0)), 6) < round(0.98 * sqrt(greatest(2 - 2 * coalesce(f.s2, -1e9), 0)), 6)"""
+
+
+@R.query(WHOLE_MATCH)
+def k07_ratio_match_whole(s, d):
+    """The same between the two halves of every identity."""
+    f = X.faces(s, d)
+    a, b = f.where("face_id % 2 = 0"), f.where("face_id % 2 = 1")
+    return _ratio_matches(S.knn_within(a, b, 2, "identity"), S.knn_within(b, a, 1, "identity"), "identity")
 
 
 CENT = f"""with {X.FACES}, {X.QUERIES}, cen as (select person_id as cluster, vector as cv from faces where person_id is not null qualify row_number() over (partition by person_id order by quality desc, face_id) = 1)

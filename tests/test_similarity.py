@@ -107,3 +107,24 @@ def test_label_pair_bests_of_all_rows(spark):
     want = {(a, b): max(0.0, s[np.ix_(p == a, p == b)].max()) for a in names for b in names if a < b}
     got = {(r.p, r.q): r.score for r in entry.queries()["v25_set_similarity_whole"](spark, d).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_knn_within_labels(spark, points):
+    f = frame(spark, points).unionByName(spark.createDataFrame([(900, [1.0] * 8, None), (901, [1.0] * 8, 77)], "face_id bigint, vector array<double>, identity bigint"))
+    s = np.round(points @ points.T, 6)
+    want = set()
+    for k in range(0, 300, 3):
+        order = sorted((x for x in range(300) if x % 3 and x % 4 == k % 4), key=lambda x: (-s[k, x], x))[:2]
+        want |= {(k % 4, k, x, s[k, x], r + 1) for r, x in enumerate(order)}
+    for block in (S.BLOCK, 7):
+        got = S.knn_within(f.where("face_id % 3 = 0"), f.where("face_id % 3 > 0"), 2, "identity", block=block)
+        assert {tuple(r) for r in got.collect()} == want
+
+
+def test_ratio_match_of_every_identity(spark):
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.001"
+    got = {tuple(r) for r in entry.queries()["k07_ratio_match_whole"](spark, d).select("identity", "a", "b", "score").collect()}
+    assert {r[1:] for r in got if r[0] == 0} == {tuple(r) for r in entry.queries()["k07_ratio_match"](spark, d).select("a", "b", "score").collect()}
+    assert len({r[0] for r in got}) > 1
