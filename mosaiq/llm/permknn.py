@@ -1,14 +1,17 @@
 """The k most similar vectors of every vector, by a permutation index.
 
 Every vector is represented by its nearest pivots in order (``PREFIX`` of them). It is posted in the inverted files of
-its first ``POSTINGS`` pivots; a vector alike to a pivot (cosine ``least`` or more) only in that pivot's, since all of
-its group are there. Within a posting list, vectors are sorted by permutation and cut into tiles; for every tile the
-others are visited in the order of their footrule distance, so the k-th best cosine found so far is high from early on
-and little of the farther tiles is left. Single precision only excludes; what is within its error of the k-th best is
-ranked by the exact cosine, rounded, and the id, however many are alike. Lists too long for one task are cut into chunks, and every pair of chunks is a task (see ``vectors``); nothing is capped or dropped.
-
-What is approximate: two alike vectors that are neither alike to a pivot nor share one of their first ``POSTINGS``
-pivots don't meet. Measured recall is in the README.
+its first ``POSTINGS`` pivots. A vector alike to pivots (cosine ``least`` or more) is posted to all of those, and to its
+first ``POSTINGS`` only if none of its cosines is ``least + EDGE`` or more. Within a posting list, vectors are sorted by
+permutation and cut into tiles; for every tile the others are visited in the order of their footrule distance, so the
+k-th best cosine found so far is high from early on and little of the farther tiles is left. Single precision only
+excludes; what is within its error of the k-th best is ranked by the exact cosine, rounded, and the id, however many are
+alike. Lists too long for one task are cut into chunks, and every pair of chunks is a task (see ``vectors``); nothing is
+capped or dropped.
+
+What is approximate: two alike vectors without a common list don't meet. That is so for two that are not alike to a pivot
+and share none of their first ``POSTINGS``, and also for one well inside a pivot's group (``least + EDGE``) and another
+that has none of the first one's pivots among its own. Measured recall is in the README.
 
 Defined cases: see ``vectors`` for rows that don't take part; repeated rows count once; ties are ordered by the smaller
 id; an empty table gives an empty result.
@@ -29,6 +32,8 @@ from mosaiq.session import spread
 PREFIX = 8
 POSTINGS = 4
 TILE = 2048
+#: Cosines above ``least`` in which a vector alike to a pivot is posted as if it weren't, too.
+EDGE = 0.05
 #: What a cosine of 128 elements in single precision may be off the exact one, rounded to 6 decimals.
 ERROR = 1e-5
 #: Candidates of a row in a tile from which they are compared as a matrix.
@@ -39,12 +44,12 @@ NOBODY = np.iinfo(np.int64).max
 def _lists(v: np.ndarray, mv: np.ndarray, p: V.Pivots, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Postings (row, pivot) and the permutation prefixes."""
     top, _, own = V.nearest(v, mv, p, PREFIX)
-    best = own.argmax(axis=1)
-    covered = own[np.arange(len(v)), best] >= least
+    best = own.max(axis=1)
     wide = min(POSTINGS, top.shape[1])
-    loose = np.flatnonzero(~covered)
-    row = np.r_[np.flatnonzero(covered), np.repeat(loose, wide)]
-    key = np.r_[best[covered], top[loose][:, :wide].ravel()]
+    loose = np.flatnonzero(best < least + EDGE)
+    r, q = np.nonzero(own >= least)
+    both = np.unique(np.r_[r * own.shape[1] + q, (loose[:, None] * own.shape[1] + top[loose, :wide]).ravel()])
+    row, key = np.divmod(both, own.shape[1])
     perm = np.full((len(v), PREFIX), -1, np.int16)
     perm[:, : top.shape[1]] = top
     return row, key, perm

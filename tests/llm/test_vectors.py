@@ -158,3 +158,12 @@ def test_loose_clusters_are_split_at_any_size(spark):
             want = small[i]
             assert (r.cluster_id, r.group_id, r["size"], r.loose) == (want.cluster_id, want.group_id, want["size"], want.loose)
             assert abs(r.mean_cosine - want.mean_cosine) < 1e-4 and abs(r.centrality - want.centrality) < 1e-4
+
+
+def test_alike_vectors_of_two_pivots_meet():
+    """Two alike vectors, each nearest to another of two pivots that both are alike to."""
+    at = lambda *deg: np.array([[np.cos(np.radians(d)), np.sin(np.radians(d))] + [0.0] * 126 for d in deg], np.float32)
+    mv = lambda n: np.array(["m"] * n, object)
+    p = V.Pivots(at(0, 55), np.arange(2), mv(2), 1.0, at(0, 55), mv(2))
+    row, key, _ = permknn._lists(at(25, 30, 0), mv(3), p, 0.75)
+    assert {(int(r), int(k)) for r, k in zip(row, key)} == {(0, 0), (0, 1), (1, 0), (1, 1), (2, 0)}
