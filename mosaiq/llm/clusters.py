@@ -6,11 +6,11 @@ Candidates of a bucket are verified by what TESTDATA.md defines as likeness, the
 Jaccard. Verified links go to connected components.
 
 Hot groups are taken out before anything is shuffled: a pivot is a face itself, so a vector whose cosine to a pivot is
-``least`` or more is linked to it on the spot, and a vector within ``INNER`` of a pivot is represented by it in the bands.
+``least`` or more is linked to it on the spot, and a vector within ``INNER`` of a pivot is not banded, nor is the pivot.
 Buckets that are still long are cut into chunks, every pair of chunks being a task; nothing is capped.
 
-What is approximate: a pair of vectors that share no bucket in any band isn't seen, and a vector within ``INNER`` of its
-pivot isn't banded itself. A cluster breaks only if all of its links across the break are missed. Measured recall is in
+What is approximate: a pair of vectors that share no bucket in any band isn't seen, nor is a pair of which one is within
+``INNER`` of a pivot that the other isn't alike to: nothing stands for it in the bands. A cluster breaks only if all of its links across the break are missed. Measured recall is in
 the README.
 
 Defined cases: rows that don't take part and repeated rows as in ``vectors``; clusters of one are left out; an empty
