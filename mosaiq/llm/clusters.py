@@ -2,16 +2,17 @@
 
 A vector's set is its ``TOKENS`` nearest pivots (see ``vectors``); similar vectors have similar sets. MinHash banding
 generates the candidates: in each of ``BANDS`` bands a vector falls into the bucket of the token with the smallest hash.
-Candidates of a bucket are verified by what TESTDATA.md defines as likeness, the exact cosine, in place of the sets'
-Jaccard. Verified links go to connected components.
+Candidates of a bucket are verified by the exact Jaccard of their sets (``JACCARD`` or more) and by what TESTDATA.md
+defines as likeness, the exact cosine. Verified links go to connected components.
 
-Hot groups are taken out before anything is shuffled: a pivot is a face itself, so a vector whose cosine to a pivot is
-``least`` or more is linked to it on the spot, and a vector within ``INNER`` of a pivot is not banded, nor is the pivot.
-Buckets that are still long are cut into chunks, every pair of chunks being a task; nothing is capped.
+A pivot is a vector of the table itself. A vector whose cosine to a pivot is ``least`` or more is linked to it before
+anything is shuffled; those within ``INNER`` of a pivot have that pivot as their *hub*. All vectors are banded, those with
+a hub in ``INNER_BANDS`` bands. In a bucket, members of one hub are joined from the start, and tiles of members that are
+joined already are not multiplied, so a hot group costs no pairs of its own. Buckets that are still long are cut into
+chunks, every pair of chunks being a task; nothing is capped.
 
-What is approximate: a pair of vectors that share no bucket in any band isn't seen, nor is a pair of which one is within
-``INNER`` of a pivot that the other isn't alike to: nothing stands for it in the bands. A cluster breaks only if all of its links across the break are missed. Measured recall is in
-the README.
+What is approximate: a pair of vectors that share no bucket in any band isn't seen. A cluster breaks only if all of its
+links across the break are missed. Measured recall is in the README.
 
 Defined cases: rows that don't take part and repeated rows as in ``vectors``; clusters of one are left out; an empty
 table gives an empty result.
@@ -23,17 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.llm import vectors as V
 from mosaiq.operators.components import components
-from mosaiq.session import norm_text, save, spread
+from mosaiq.session import save, spread
 
 TOKENS = 12
 BANDS = 8
-#: Cosine to a pivot from which a vector needs no bucket of its own.
+#: Jaccard of two sets from which a candidate is looked at.
+JACCARD = 0.1
+#: Cosine to a pivot from which the pivot is a vector's hub, and the bands of a vector with a hub.
 INNER = 0.8
+INNER_BANDS = 2
 #: Rows of a tile: small, as only tiles on and above the diagonal are multiplied.
 TILE = 512
 
@@ -54,79 +58,92 @@ def _buckets(top: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _banded(v: np.ndarray, mv: np.ndarray, p: V.Pivots, h: np.ndarray, least: float):
-    """Postings (row, bucket) of the vectors that are banded, and links (row, pivot)."""
+    """Postings (row, bucket), what goes with each row (its tokens and its hub or -1), and links (row, pivot)."""
     top, _, own = V.nearest(v, mv, p, TOKENS)
-    near = own.max(axis=1)
+    best = own.argmax(axis=1)
+    inner = own[np.arange(len(v)), best] >= max(INNER, least)
     row, piv = np.nonzero(own >= least)
-    best = own[row].argmax(axis=1)
-    inner = near[row] >= INNER
-    main = piv == best
-    # (kind, pivot, row or -1, pivot): inner faces hang on their pivot; border faces and second pivots are graph edges
-    hang = np.c_[row, piv][main & inner]
-    edge = np.c_[row, piv][main & ~inner]
-    second = np.c_[best, piv][~main]
-    loose = np.flatnonzero(near < INNER)
-    key = _buckets(top[loose], h)
-    return np.repeat(loose, BANDS), key.ravel(), (hang, edge, second)
+    main = piv == best[row]
+    # vectors with a hub hang on it; border vectors and second pivots are graph edges
+    hang = np.c_[row, piv][main & inner[row]]
+    edge = np.c_[row, piv][main & ~inner[row]]
+    second = np.c_[best[row], piv][~main]
+    key = _buckets(top, h)
+    on = ~inner[:, None] | (np.arange(BANDS) < INNER_BANDS)[None, :]
+    beside = np.full((len(v), TOKENS + 1), -1, np.int16)
+    beside[:, : top.shape[1]] = top
+    beside[:, -1] = np.where(inner, best, -1)
+    return np.nonzero(on)[0], key[on], beside, (hang, edge, second)
 
 
 def _chunks(p: V.Pivots, h: np.ndarray, least: float, chunk: int) -> np.ndarray:
     n = np.zeros(max(1, h.size))
     if len(p.sample):
-        row, key, _ = _banded(p.sample, p.sample_versions, p, h, least)
+        row, key, _, _ = _banded(p.sample, p.sample_versions, p, h, least)
         for m in set(p.sample_versions):
             n = np.maximum(n, np.bincount(key[p.sample_versions[row] == m], minlength=len(n)))
     return np.maximum(1, np.ceil(n / max(p.rate, 1e-12) / chunk)).astype(np.int32)
 
 
 def _post(batches: Iterator[pa.RecordBatch], p: V.Pivots, h: np.ndarray, chunks: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
-    """Blocks for the buckets. Links to pivots travel as blocks of their own: k = -1 for faces that hang on pivot i,
-    k = -2 for graph edges to pivot i; j is a salt."""
+    """Blocks for the buckets. Links to pivots travel as blocks of their own, two for each flush: k = -1 for vectors that
+    hang on a pivot, k = -2 for graph edges."""
     for ids, mv, x in V.held(batches):
         v = V.unit(x).astype(np.float32)
-        rows, keys, hang, edge = [], [], [], []
+        rows, keys, beside, hang, edge = [], [], [], [], []
         for s in range(0, len(v), 8192):
-            r, k, (a, b, c) = _banded(v[s : s + 8192], mv[s : s + 8192], p, h, least)
+            r, k, z, (a, b, c) = _banded(v[s : s + 8192], mv[s : s + 8192], p, h, least)
             rows.append(r + s)
             keys.append(k)
+            beside.append(z)
             hang.append(np.c_[ids[a[:, 0] + s], a[:, 1]])
             edge.append(np.r_[np.c_[ids[b[:, 0] + s], b[:, 1]], np.unique(np.c_[p.ids[c[:, 0]], c[:, 1]], axis=0)])
-        yield from V.emit(ids, x, mv, np.concatenate(rows), np.concatenate(keys), chunks)
-        yield from _link_blocks(np.concatenate(hang), -1, int(ids[0] % 16))
-        yield from _link_blocks(np.concatenate(edge), -2, int(ids[0] % 16))
-
-
-def _link_blocks(link: np.ndarray, kind: int, salt: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of links (id, pivot)."""
-    if not len(link):
-        return
-    link = link[np.argsort(link[:, 1], kind="stable")]
-    cut = np.flatnonzero(np.r_[True, np.diff(link[:, 1]) != 0, True])
-    blob = [link[a:b, 0].astype("<i8").tobytes() for a, b in zip(cut[:-1], cut[1:])]
-    n = len(blob)
-    ints = [pa.array(c, pa.int32()) for c in ([kind] * n, link[cut[:-1], 1].astype(np.int32), [salt] * n, [0] * n)]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([""] * n), *ints, pa.array(blob, pa.binary()), *[pa.array([b""] * n, pa.binary())] * 3],
-        ["mv", "k", "i", "j", "side", "ids", "q", "f", "perm"],
-    )
-
-
-def link_block(a: np.ndarray, b: np.ndarray, label_a: np.ndarray, label_b: np.ndarray, least: float, same: bool) -> None:
-    """Union by cosine: labels (places of the smallest member) of the rows of a and b are lowered in place."""
+        yield from V.emit(ids, x, mv, np.concatenate(rows), np.concatenate(keys), chunks, np.concatenate(beside))
+        yield from _link_block(np.concatenate(hang), -1, int(ids[0] % (1 << 31)))
+        yield from _link_block(np.concatenate(edge), -2, int(ids[0] % (1 << 31)))
+
+
+def _link_block(link: np.ndarray, kind: int, name: int) -> Iterator[pa.RecordBatch]:
+    """A block of links (id, pivot); its name only keeps blocks of several tasks apart."""
+    if len(link):
+        ints = [pa.array([c], pa.int32()) for c in (kind, name, 0, 0)]
+        blobs = [pa.array([c], pa.binary()) for c in (link[:, 0].astype("<i8").tobytes(), b"", b"", link[:, 1].astype("<i4").tobytes())]
+        yield pa.RecordBatch.from_arrays([pa.array([""]), *ints, *blobs], ["mv", "k", "i", "j", "side", "ids", "q", "f", "perm"])
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard of the sets in each row of a and b; -1 stands for no token."""
+    out = np.empty(len(a))
+    for s in range(0, len(a), 1 << 14):
+        x, y = a[s : s + (1 << 14)], b[s : s + (1 << 14)]
+        both = ((x[:, :, None] == y[:, None, :]) & (x[:, :, None] >= 0)).sum(axis=(1, 2))
+        out[s : s + (1 << 14)] = both / np.maximum(1, (x >= 0).sum(axis=1) + (y >= 0).sum(axis=1) - both)
+    return out
+
+
+def link_block(a: np.ndarray, b: np.ndarray, label_a: np.ndarray, label_b: np.ndarray, ta: np.ndarray, tb: np.ndarray, least: float, same: bool) -> None:
+    """Union by Jaccard of the sets ta and tb and by cosine: labels (places of the smallest member) of the rows of a and b
+    are lowered in place. Rows of one label should be neighbours: tiles of one label only are passed over."""
     fa, fb = V.unit(a).astype(np.float32), V.unit(b).astype(np.float32) if not same else None
     fb = fa if same else fb
     for s in range(0, len(a), TILE):
         for t in range(s if same else 0, len(b), TILE):
+            la, lb = label_a[s : s + TILE], label_b[t : t + TILE]
+            if la.min() == la.max() == lb.min() == lb.max():
+                continue
             c = fa[s : s + TILE] @ fb[t : t + TILE].T
             hit = c >= least - 1e-5
             n = np.count_nonzero(hit)
             if not n:
                 continue
             if n > hit.size // 16:  # what is joined already needn't be listed
-                hit &= label_a[s : s + TILE, None] != label_b[None, t : t + TILE]
+                hit &= la[:, None] != lb[None, :]
             r, q = np.nonzero(hit)
-            new = label_a[s + r] != label_b[t + q]
+            new = la[r] != lb[q]
             r, q = r[new], q[new]
+            if len(r):
+                alike = jaccard(ta[s + r], tb[t + q]) >= JACCARD
+                r, q = r[alike], q[alike]
             if not len(r):
                 continue
             near = np.flatnonzero(c[r, q] < least + 1e-5)
@@ -163,28 +180,36 @@ def _union(label_a: np.ndarray, label_b: np.ndarray, x: np.ndarray, y: np.ndarra
 EDGES = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
+def _side(table: pa.Table, side: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, vectors, tokens and hubs of a group's blocks, in the order of hubs."""
+    ids, x, beside = V.gather(table, side, TOKENS + 1)
+    order = np.argsort(beside[:, -1], kind="stable")
+    return ids[order], x[order], beside[order, :-1], beside[order, -1]
+
+
 def _verify(table: pa.Table, p_ids: np.ndarray, least: float) -> pa.Table:
     k, i, j = (table.column(c)[0].as_py() for c in "kij")
     if k < 0:
         ids = np.concatenate([np.frombuffer(b.as_py(), "<i8") for b in table.column("ids")])
+        piv = np.concatenate([np.frombuffer(b.as_py(), "<i4") for b in table.column("perm")])
         kind = np.full(len(ids), 0 if k == -1 else 1, np.int32)
-        return pa.table([pa.array(kind), pa.array(ids), pa.array(np.full(len(ids), p_ids[i]))], schema=EDGES)
-    if i == j:
-        ids, x, _ = V.gather(table)
-        label = np.arange(len(ids))
-        if len(ids) > 1:
-            link_block(x, x, label, label, least, True)
-        a, b = ids, ids[label]
-    else:
-        ia, xa, _ = V.gather(table, 0)
-        ib, xb, _ = V.gather(table, 1)
-        la, lb = np.arange(len(ia)), len(ia) + np.arange(len(ib))
-        if len(ia) and len(ib):
-            link_block(xa, xb, la, lb, least, False)
-        both = np.r_[ia, ib]
-        a, b = both, both[np.r_[la, lb]]
-    on = a != b
-    return pa.table([pa.array(np.ones(int(on.sum()), np.int32)), pa.array(a[on]), pa.array(b[on])], schema=EDGES)
+        return pa.table([pa.array(kind), pa.array(ids), pa.array(p_ids[piv])], schema=EDGES)
+    sides = [_side(table)] if i == j else [_side(table, 0), _side(table, 1)]
+    ids, hub = (np.concatenate([s[c] for s in sides]) for c in (0, 3))
+    # members of one hub are joined already: its first member stands for them
+    start = np.arange(len(ids))
+    _, first, at = np.unique(hub, return_index=True, return_inverse=True)
+    start = np.where(hub >= 0, first[at], start)
+    label = start.copy()
+    if len(ids) > 1 and all(len(s[0]) for s in sides):
+        (_, xa, ta, _), (_, xb, tb, _) = sides[0], sides[-1]
+        if len(sides) == 1:
+            link_block(xa, xa, label, label, ta, ta, least, True)
+        else:
+            link_block(xa, xb, label[: len(xa)], label[len(xa) :], ta, tb, least, False)
+    on = np.flatnonzero(label != start)
+    ends = np.unique(np.c_[ids[start[on]], ids[label[on]]], axis=0)
+    return pa.table([pa.array(np.ones(len(ends), np.int32)), pa.array(ends[:, 0]), pa.array(ends[:, 1])], schema=EDGES)
 
 
 def clusters(df: DataFrame, least: float = 0.75, chunk: int = V.CHUNK, sample: int = V.SAMPLE, pivots: int = V.PIVOTS) -> DataFrame:

@@ -70,7 +70,7 @@ def _run(batches: Iterator[pa.RecordBatch], common: dict[str, frozenset[str]]) -
 def text_figures(df: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and the figures of every row's text. ``common_words`` is a fixed, small table (``lang, word``)."""
     by: dict[str, set[str]] = {}
-    for r in common_words.where("word is not null").select(F.coalesce("lang", F.lit("")).alias("lang"), "word").limit(100_000).collect():
+    for r in common_words.where("word is not null").select(F.coalesce("lang", F.lit("")).alias("lang"), "word").distinct().collect():
         by.setdefault(r.lang.lower(), set()).add(r.word.lower())
     common = {k: frozenset(v) for k, v in by.items()}
     rows = spread(df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")))

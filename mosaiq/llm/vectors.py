@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 DIM = 128
 SAMPLE = 8192
 PIVOTS = 1024
+#: Rows from which the pivots, and the sample with them, grow with the square root of the number of rows.
+MANY_ROWS = 400_000
+#: Pivots are sent along as 16-bit numbers.
+MOST_PIVOTS = 32_000
 #: Cosine from which two sampled faces can't both be pivots.
 APART = 0.6
 CHUNK = 65_536
@@ -98,32 +102,61 @@ def faces(df: DataFrame, ident: str = "face_id", vector: str = "embedding", vers
     )
 
 
+def _alike(a: np.ndarray, b: np.ndarray, ma: np.ndarray, mb: np.ndarray) -> np.ndarray:
+    return (a @ b.T >= APART) & (ma[:, None] == mb[None, :])
+
+
+def _apart(v: np.ndarray, mv: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Places of the pivots in the sample: in the order of similar vectors (counted in at most 2 * SAMPLE rows of the
+    sample), each that isn't similar to one taken before."""
+    n = len(v)
+    step = max(1, n // SAMPLE)
+    degree = np.concatenate([_alike(v[s : s + 2048], v[::step], mv[s : s + 2048], mv[::step]).sum(axis=1) for s in range(0, n, 2048)]) if n else np.zeros(0)
+    order = np.lexsort((ids, -degree))
+    free = np.ones(n, bool)
+    taken: list[int] = []
+    for s in range(0, n, 512):
+        next_ = order[s : s + 512][free[order[s : s + 512]]]
+        if not len(next_):
+            continue
+        near = _alike(v[next_], v[next_], mv[next_], mv[next_])
+        new, ok = [], np.ones(len(next_), bool)
+        for k in range(len(next_)):
+            if ok[k]:
+                new.append(next_[k])
+                ok &= ~near[k]
+        taken += new
+        if len(taken) >= most:
+            break
+        free &= ~_alike(v, v[new], mv, mv[new]).any(axis=1)
+    return np.array(taken[:most], int)
+
+
 def choose_pivots(rows: DataFrame, sample: int = SAMPLE, pivots: int = PIVOTS) -> Pivots:
-    """Sample and pivots. What reaches the driver is bounded by ``sample`` (a few MB), whatever the table's size."""
+    """Sample and pivots. Beyond ``MANY_ROWS`` rows both grow with the square root of their number, so that posting lists
+    and the work for each row do, too. The sample is every id whose hash lies in a range, so about ``sample`` ids reach
+    the driver at most, however often an id is delivered. Where few of them take part, the range is made wider, up to
+    all ids: a table with any row that takes part has a sample."""
     total = rows.count()
+    grow = max(1.0, (total / MANY_ROWS) ** 0.5)
+    sample, pivots = int(sample * grow), min(int(pivots * grow), MOST_PIVOTS)
     mask = (1 << 30) - 1
     part = min(1.0, sample / max(1, total))
     h = F.xxhash64(F.col("id"), F.lit(11)).bitwiseAND(F.lit(mask))
-    table = rows.where(h <= int(part * mask)).limit(2 * sample).toArrow()
-    parts = [clean(b) for b in table.to_batches()]
-    ids = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
+    able = rows.where(F.col("id").isNotNull() & F.col("mv").isNotNull() & (F.size("e") == DIM))
+    while True:
+        table = able.where(h <= int(part * mask)).dropDuplicates(["id"]).toArrow()
+        parts = [clean(b) for b in table.to_batches()]
+        ids = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
+        if part >= 1 or len(ids) >= sample // 8:
+            break
+        part = min(1.0, 8 * part)
     mv = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, object)
     x = np.concatenate([p[2] for p in parts]) if parts else np.zeros((0, DIM), np.float32)
-    ids, first = np.unique(ids, return_index=True)
-    mv, x = mv[first], x[first]
+    order = np.argsort(ids)
+    ids, mv, x = ids[order], mv[order], x[order]
     v = unit(x).astype(np.float32) if len(x) else x
-    alike = np.zeros((len(v), len(v)), bool)
-    for s in range(0, len(v), 2048):
-        alike[s : s + 2048] = v[s : s + 2048] @ v.T >= APART
-    alike &= mv[:, None] == mv[None, :]
-    order = np.lexsort((ids, -alike.sum(axis=1))) if len(v) else []
-    taken, free = [], np.ones(len(v), bool)
-    for k in order:
-        if free[k]:
-            taken.append(k)
-            free &= ~alike[k]
-            if len(taken) == pivots:
-                break
+    taken = _apart(v, mv, ids, pivots)
     return Pivots(v[taken], ids[taken], mv[taken], part, v, mv)
 
 
