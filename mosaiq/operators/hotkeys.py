@@ -10,6 +10,9 @@ Two forms:
 * ``key_quantiles``: any numeric values, repeated values count as often as they occur. The value's 64 bits, put into
   an order-preserving form, are refined by ``BITS`` bits a pass.
 
+Refinement goes ``BITS`` bits a pass, from the coarsest cells in which the values differ. After each pass only the cells
+in which a wanted rank lies are kept (``_refined``), so a pass reads about 1/2^BITS of the one before for each rank.
+
 Both shuffle on (key, cell), so a key with a third of all rows is spread over as many tasks as it has cells, and both
 are aggregated before the shuffle.
 """
@@ -36,8 +39,8 @@ def distinct_cells(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, key: str, value: str) -> DataFrame:
-    """``key, n``: exact number of distinct values of each key, the total of its histogram."""
-    return distinct_cells(df, key, value).groupBy("key").agg(F.sum("n").alias("n"))
+    """``key, n``: exact number of distinct values of each key, by selecting the last of them: its rank is their number."""
+    return distinct_ranks(df, key, value, (1.0,)).select("key", "n")
 
 
 def distinct_ranks(df: DataFrame, key: str, value: str, probs: tuple[float, ...]) -> DataFrame:
@@ -47,14 +50,7 @@ def distinct_ranks(df: DataFrame, key: str, value: str, probs: tuple[float, ...]
     cells of 2^(6+8j) values down to the bitmap that holds the rank.
     """
     cells = cut(distinct_cells(df, key, value))
-    n = cells.groupBy("key").agg(F.sum("n").alias("n"))
-    want = _wanted(n, probs)
-    for shift in range(56, -1, -BITS):
-        step = cells.groupBy("key", F.expr(f"shiftright(cell, {shift})").alias("c")).agg(F.sum("n").alias("m"))
-        if shift < 56:
-            step = step.withColumn("up", F.expr(f"shiftright(c, {BITS})"))
-            want = want.withColumnRenamed("c", "up")
-        want = _narrow(want, step, ["key", "up"] if shift < 56 else ["key"])
+    want, cells = _refined(cells, "n", probs)
     leaf = cells.select("key", F.col("cell").alias("c"), "bits")
     found = want.join(leaf, ["key", "c"])
     # the r-th set bit: the only position whose bit is set with r bits up to and including it
@@ -78,18 +74,34 @@ def key_quantiles(df: DataFrame, key: str, value: str, probs: tuple[float, ...])
         .agg(F.count(F.lit(1)).alias("m"))
     )
     base = cut(base.withColumn("cell", _ordered_bits(F.col("v"))))
-    n = base.groupBy("key").agg(F.sum("m").alias("n"))
-    want = _wanted(n, probs)
-    for shift in range(56, -1, -BITS):
-        step = base.groupBy("key", F.expr(f"shiftright(cell, {shift})").alias("c")).agg(F.sum("m").alias("m"))
-        if shift < 56:
-            step = step.withColumn("up", F.expr(f"shiftright(c, {BITS})"))
-            want = want.withColumnRenamed("c", "up")
-        want = _narrow(want, step, ["key", "up"] if shift < 56 else ["key"])
+    want, base = _refined(base, "m", probs)
     leaf = base.select("key", F.col("cell").alias("c"), "v")
     return want.join(leaf, ["key", "c"]).select("key", "n", "prob", F.col("v").alias("value"))
 
 
+def _refined(cells: DataFrame, count: str, probs: tuple[float, ...]) -> tuple[DataFrame, DataFrame]:
+    """``key, n, prob, r, c``: the finest cell of each wanted rank and the rank within it; and the cells left (of those
+    given, in the neighbourhood of the wanted ones)."""
+    ends = cells.agg(F.min("cell"), F.max("cell")).first()
+    low, high = ends[0] or 0, ends[1] or 0
+    top = 0
+    while (high >> top) - (low >> top) >= 1 << BITS:
+        top += BITS
+    want = None
+    for shift in range(top, -1, -BITS):
+        step = cells.groupBy("key", F.expr(f"shiftright(cell, {shift})").alias("c")).agg(F.sum(count).alias("m"))
+        if want is None:
+            want = _narrow(_wanted(step.groupBy("key").agg(F.sum("m").alias("n")), probs), step, ["key"])
+        else:
+            step = step.withColumn("up", F.expr(f"shiftright(c, {BITS})"))
+            want = _narrow(want.withColumnRenamed("c", "up"), step, ["key", "up"])
+        want = cut(want)
+        if shift:
+            near = want.select("key", F.col("c").alias("_c")).distinct()
+            cells = cut(cells.withColumn("_c", F.expr(f"shiftright(cell, {shift})")).join(near, ["key", "_c"], "left_semi").drop("_c"))
+    return want, cells
+
+
 def _wanted(n: DataFrame, probs: tuple[float, ...]) -> DataFrame:
     each = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
     rank = F.greatest(F.lit(1), F.ceil(F.col("prob") * F.col("n"))).cast("bigint")
