@@ -67,25 +67,24 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(read(spark, d, "documents"), "doc_id")
 
 
-def _mix(spark: SparkSession, d: str):
-    targets = read(spark, d, "mix_targets")
+def _mixed(spark: SparkSession, d: str, fit: str) -> tuple[DataFrame, DataFrame]:
+    """The plan and the mix by it."""
     sized = cut(mixing.sized_documents(read(spark, d, "documents")))
-    return sized, mixing.mix_plan(sized, targets)
+    plan = cut(mixing.mix_plan(sized, read(spark, d, "mix_targets"), fit))
+    return plan, mixing.mix_sources(sized, plan)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    plan = mixing.mix_plan(mixing.sized_documents(read(spark, d, "documents")), read(spark, d, "mix_targets"))
-    return plan.where("short").select("source")
+    """Sources that are used up in a mix that asks each for its full share."""
+    return mixing.mix_report(*_mixed(spark, d, "demand")).where("short").select("source")
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
-    sized, plan = _mix(spark, d)
-    return mixing.mix_sources(sized, plan)
+    return _mixed(spark, d, "shares")[1]
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    sized, plan = _mix(spark, d)
-    return mixing.mix_report(plan, mixing.mix_sources(sized, plan))
+    return mixing.mix_report(*_mixed(spark, d, "shares"))
 
 
 def _types(spark: SparkSession, d: str) -> DataFrame:

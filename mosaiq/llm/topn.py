@@ -3,10 +3,10 @@
 1. Every input partition is sorted by (group, score descending, ties ascending) on the JVM, which spills, and written
    as a run: after N items of a group the writer seeks to the next group, so a run holds at most N rows of a group,
    however many there are.
-2. A run is cut into buckets by the group's hash; each bucket of a run is one block of columns. Blocks are shuffled by
-   bucket.
-3. In each bucket the blocks of all runs are merged through a loser tree; after N outputs of a group every run seeks to
-   its next group by binary search.
+2. A run is cut into buckets by the group's hash, of about ``PER_BUCKET`` rows; each bucket of a run is one block of
+   columns. Runs are stored in the shared folder; blocks are shuffled by bucket.
+3. In each bucket the blocks of all runs are merged through a loser tree, which reads them some rows at a time; after N
+   outputs of a group every run seeks to its next group by binary search.
 
 Defined cases: rows whose group or item is null, or whose score is null, NaN or outside the given range, are not
 ranked; -0.0 equals 0.0; an item delivered several times counts once, with its best rank; null tie columns come last;
@@ -15,7 +15,6 @@ an empty table gives an empty result; other columns don't matter.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 128
+from mosaiq.session import save
+
+#: Rows for which a bucket is made (32 bytes each, before runs leave any out), and the fewest buckets.
+PER_BUCKET, BUCKETS = 500_000, 128
+#: Rows of a block that are unpacked at a time in a merge.
+READ = 2048
 #: Rows that a run writer holds before it flushes its blocks.
 FLUSH = 1_000_000
 LAST = (1 << 63) - 1
@@ -61,13 +65,33 @@ class LoserTree:
         self.winner = w
 
 
+class Run:
+    """A sorted run (groups, scores, ties, items) as arrays, read from the front."""
+
+    def __init__(self, cols: tuple[np.ndarray, ...]):
+        self.cols, self.at, self.base, self.rows = cols, 0, 0, []
+
+    def head(self) -> tuple | None:
+        """(group, -score, tie, item), None at the end."""
+        k = self.at - self.base
+        if k >= len(self.rows):
+            if self.at >= len(self.cols[0]):
+                return None
+            g, s, t, i = (c[self.at : self.at + READ] for c in self.cols)
+            self.rows, self.base, k = [*zip(g.tolist(), (-s).tolist(), t.tolist(), i.tolist())], self.at, 0
+        return self.rows[k]
+
+    def after(self, group: int) -> None:
+        """On to the next group."""
+        self.at += int(np.searchsorted(self.cols[0][self.at :], group, side="right"))
+
+
 def merge_top(runs: list[tuple], n: int) -> Iterator[tuple[int, float, int, int]]:
-    """Multiway merge of sorted runs, each (groups, scores, ties, items) as lists; N distinct items of each group."""
-    runs = [r for r in runs if len(r[0])]
-    if not runs:
+    """Multiway merge of sorted runs, each (groups, scores, ties, items) as arrays; N distinct items of each group."""
+    heads = [Run(r) for r in runs if len(r[0])]
+    if not heads:
         return
-    at = [0] * len(runs)
-    tree = LoserTree([(r[0][0], -r[1][0], r[2][0], r[3][0]) for r in runs])
+    tree = LoserTree([r.head() for r in heads])
     keys = tree.keys
     group, seen = None, set()
     while True:
@@ -75,18 +99,17 @@ def merge_top(runs: list[tuple], n: int) -> Iterator[tuple[int, float, int, int]
         head = keys[w]
         if head is None:
             return
-        run = runs[w]
+        run = heads[w]
         if head[0] != group:
             group, seen = head[0], set()
         if len(seen) < n:
             if head[3] not in seen:
                 seen.add(head[3])
                 yield head[0], -head[1], head[2], head[3]
-            p = at[w] + 1
+            run.at += 1
         else:
-            p = bisect_right(run[0], group, at[w])
-        at[w] = p
-        keys[w] = (run[0][p], -run[1][p], run[2][p], run[3][p]) if p < len(run[0]) else None
+            run.after(group)
+        keys[w] = run.head()
         tree.replay()
 
 
@@ -147,36 +170,33 @@ def _write_runs(batches: Iterator[pa.RecordBatch], n: int, buckets: int) -> Iter
 
 def top_n(
     df: DataFrame, group: str, score: str, tie: str, item: str, n: int,
-    low: float = float("-inf"), high: float = float("inf"), buckets: int = BUCKETS,
+    low: float = float("-inf"), high: float = float("inf"), buckets: int | None = None,
 ) -> DataFrame:
     """``group, item, tie, score, rank``: the ``n`` distinct items with the highest score of each group.
 
     Group, tie and item are integers; among equal scores the smaller tie, then the smaller item comes first.
     """
+    buckets = buckets or max(BUCKETS, -(-df.count() // PER_BUCKET))
     sc = F.col(score).cast("double") + F.lit(0.0)
     rows = df.select(
         F.col(group).cast("bigint").alias("g"), sc.alias("s"),
         F.coalesce(F.col(tie).cast("bigint"), F.lit(LAST)).alias("t"), F.col(item).cast("bigint").alias("i"),
     ).where(F.expr("g is not null and i is not null and s is not null and not isnan(s)") & F.col("s").between(low, high))
     rows = rows.sortWithinPartitions("g", F.desc("s"), "t", "i")
-    runs = rows.mapInArrow(
+    runs = save(rows.mapInArrow(
         lambda it: _write_runs(it, n, buckets), "bucket int, run bigint, g binary, s binary, t binary, i binary"
-    )
+    ))
 
     def merge(table: pa.Table) -> pa.Table:
         cols = [table.column(c) for c in ("g", "s", "t", "i")]
         kinds = (np.int64, np.float64, np.int64, np.int64)
-        blocks = [
-            tuple(np.frombuffer(c[k].as_py(), kind).tolist() for c, kind in zip(cols, kinds)) for k in range(table.num_rows)
-        ]
-        out = list(merge_top(blocks, n))
-        g, s, t, i = (list(c) for c in zip(*out)) if out else ([], [], [], [])
-        rank, k = [], 0
-        for a, b in zip(g, [None, *g]):
-            k = k + 1 if a == b else 1
-            rank.append(k)
+        blocks = [tuple(np.frombuffer(c[k].as_py(), kind) for c, kind in zip(cols, kinds)) for k in range(table.num_rows)]
+        out = np.fromiter(merge_top(blocks, n), np.dtype([*zip("gsti", kinds)]))
+        g, s, t, i = (out[c] for c in "gsti")
+        start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, int)
+        rank = np.arange(1, len(g) + 1) - np.repeat(start, np.diff(np.r_[start, len(g)]))
         return pa.table(
-            [pa.array(g, pa.int64()), pa.array(i, pa.int64()), pa.array([None if x == LAST else x for x in t], pa.int64()),
+            [pa.array(g, pa.int64()), pa.array(i, pa.int64()), pa.array(t, pa.int64(), mask=t == LAST),
              pa.array(s, pa.float64()), pa.array(rank, pa.int32())],
             names=["g", "i", "t", "s", "rank"],
         )

@@ -54,6 +54,29 @@ def test_loser_tree_merge_is_sorted():
     runs = []
     for _ in range(7):
         x = sorted((r.randint(0, 5), -r.random(), r.randint(0, 9), r.randint(0, 1000)) for _ in range(r.randint(0, 40)))
-        runs.append(([a[0] for a in x], [-a[1] for a in x], [a[2] for a in x], [a[3] for a in x]))
+        runs.append((np.array([a[0] for a in x]), np.array([-a[1] for a in x]), np.array([a[2] for a in x]), np.array([a[3] for a in x])))
     out = [(g, -s, t, i) for g, s, t, i in topn.merge_top(runs, 10**6)]
     assert out == sorted(out)
+
+
+def test_millions_of_small_groups_in_little_memory():
+    """A bucket of three million groups of one row in 20 runs: the merge holds some rows of each run only."""
+    import tracemalloc
+
+    n = 3_000_000
+    g = np.arange(n)
+    runs = [(g[k::20].copy(), np.full(n // 20, 0.5), np.zeros(n // 20, np.int64), g[k::20].copy()) for k in range(20)]
+    tracemalloc.start()
+    out = topn.merge_top(runs, 10)
+    first = [next(out) for _ in range(100_000)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r[0] for r in first] == list(range(100_000)) and most < 200 << 20
+
+
+def test_buckets_grow_with_rows(spark, monkeypatch):
+    monkeypatch.setattr(topn, "PER_BUCKET", 10)
+    df = spark.range(5000).selectExpr("id % 1700 as g", "id as i", "cast(id % 7 as double) as s", "id as t")
+    got = topn.top_n(df, "g", "s", "t", "i", 2).collect()
+    rows = [(k % 1700, k, k, float(k % 7) / 10) for k in range(5000)]
+    assert {(r.g, r.i, r["rank"]) for r in got} == brute(rows, 2)
