@@ -100,8 +100,15 @@ def p8_figures(spark: SparkSession, d: str) -> DataFrame:
     return t.select(*[F.round(c, 6).alias(c) if k == "double" else c for c, k in t.dtypes])
 
 
+def p8_accuracies(spark: SparkSession, d: str) -> DataFrame:
+    """What was learnt about each threshold: how often a level's vote is right, and how often the level occurs."""
+    figs = quality.text_figures(read(spark, d, "documents"), read(spark, d, "common_words"))
+    got = [(f, n, v, round(a, 6), round(c, 6)) for f, n, v, a, c in quality.accuracies(*quality.patterns(figs))]
+    return spark.createDataFrame(got, "figure string, level int, votes_for string, accuracy double, coverage double")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_batches, p3_found, p3_clusters, p4_found, p4_ranked, p5_found, p5_neighbours, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_figures)}
+    return {f.__name__: f for f in (p1_found, p1_batches, p3_found, p3_clusters, p4_found, p4_ranked, p5_found, p5_neighbours, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_figures, p8_accuracies)}
 
 
 def oracle_sql() -> dict[str, str]:

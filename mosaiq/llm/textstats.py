@@ -3,34 +3,37 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import regex
 
-#: Line ends of all sorts.
-LINES = regex.compile(r"\r\n|[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]")
-_INVISIBLE = regex.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff]")
+_INVISIBLE = re.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff]")
 _WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’\-][\p{L}\p{M}]+)*")
-_LETTERS, _DIGITS = regex.compile(r"[\p{L}\p{M}]+"), regex.compile(r"\p{Nd}+")
+_LETTERS, _DIGITS = regex.compile(r"[\p{L}\p{M}]+"), re.compile(r"\d+")
 #: The same for ASCII texts, by the faster standard library.
 _ASCII_WORD, _ASCII_LETTERS = re.compile(r"[A-Za-z]+(?:['\-][A-Za-z]+)*"), re.compile(r"[A-Za-z]+")
 _HAN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Thai}]")
-_END = regex.compile(r"[.!?…。！？][\"'”’»)\]*_]*\s*$")
-_STOP = regex.compile(r"[.!?…。！？]+[\"'”’»)\]]*(?:\s|$)|[。！？]")
+_NO_LETTER = bytes(b for b in range(256) if not chr(b).isalpha() or b > 127)
+_NO_DIGIT = bytes(b for b in range(256) if not 48 <= b <= 57)
+_STOPS, _CLOSING = frozenset(".!?…。！？"), "\"'”’»)]*_"
+_STOP = re.compile(r"[.!?…。！？]+[\"'”’»)\]]*(?:\s|$)|[。！？]")
 _MARKER = regex.compile(r"^\s*(?:[-*•·‣◦▪●○■□–—+>☐☑☒✓✔✗→]+|\[[ xX✓]?\]|\(?\p{Nd}{1,3}[.)]|\(?\p{L}[.)]|\p{Nd}{1,3}\s*[-–:])\s+\S")
 _HASHTAG = regex.compile(r"(?<!\S)#[\p{L}\p{Nd}]\S*")
 _MARKUP = regex.compile(r"</?[a-zA-Z][^<>]*>|&\p{L}{2,8};|\{\{[^{}]*\}\}")
 _CELL = regex.compile(r"</?(?:t[drh]|table|tbody|thead)\b", regex.I)
-_GAP = regex.compile(r"(?<=\S) {2,}(?=\S)")
-_WIDE_GAP = regex.compile(r"(?<=\S) {3,}(?=\S)")
+_GAP = re.compile(r"(?<=\S) {2,}(?=\S)")
+_WIDE_GAP = re.compile(r"(?<=\S) {3,}(?=\S)")
 _PAIR = regex.compile(r"^\s*[\p{L}\p{M}][\p{L}\p{M}\p{Nd}_ .\-]{0,28}\s*(?:=|:=|:|\t|->|=>)\s*\S.{0,80}$")
-_FIELD = regex.compile(r"[|;,]")
+_FIELD = re.compile(r"[|;,]")
 _NAMED = regex.compile(r"^\s*[\p{L}\p{M}][\p{L}\p{M}\p{Nd}_ .\-]{0,28}(?:[:=]\s|=)")
 _RULE = regex.compile(r"^[\s|+\-=_:*#~<>.\p{S}]+$")
-_SEGMENT = regex.compile(r"[.!?…。！？;,；，、|•·\t\n]+| {2,}| - | – | / ")
-_SEPARATED, _COMMAS = regex.compile(r"[;|•·；]| / | - "), regex.compile(r"[,，、;|•·；]| / | - ")
-_VOWEL = regex.compile(r"[aeiouyàâäáãåæèéêëìîïíòôöóõøùûüúœ]", regex.I)
+_SEGMENT = re.compile(r"[.!?…。！？;,；，、|•·\t\n]+| {2,}| - | – | / ")
+_SEPARATED, _COMMAS = re.compile(r"[;|•·；]| / | - "), re.compile(r"[,，、;|•·；]| / | - ")
+_SEPARATORS = ",，、;|•·；/-"
+_VOWEL = re.compile(r"[aeiouyàâäáãåæèéêëìîïíòôöóõøùûüúœ]", re.I)
 
 
 @dataclass
@@ -51,6 +54,8 @@ class Figures:
     segment_words: float  # words between two separators or line ends
     sentence_words: float  # words between two sentence ends
     short_lines: float  # share of lines of fewer than five words that end without punctuation
+    longest_rare: float  # words of the longest run without a common one; 6 for fewer than 12 words or without blanks
+    common_kinds: float  # different common words; 2 for fewer than 12 words or without blanks
 
 
 def blank(text: str | None) -> bool:
@@ -66,14 +71,18 @@ def figures(text: str, common: dict[str, frozenset[str]]) -> Figures:
     t = _INVISIBLE.sub("", text).replace("\u00a0", " ").replace("\u3000", " ")
     tokens = t.split()
     solid = sum(map(len, tokens))
-    lines = [x for x in LINES.split(t) if x.strip()]
+    lines = [x for x in t.splitlines() if x.strip()]  # line ends of all sorts
     wide = han(t)
     cjk = wide > 0.3 * max(1, solid)
+    rare, kinds = 6, 2
     low = t.lower()
     plain = t.isascii()
     words = (_ASCII_WORD if plain else _WORD).findall(low)
-    alnum = sum(map(len, (_ASCII_LETTERS if plain else _LETTERS).findall(t)))
-    digits = sum(map(len, _DIGITS.findall(t)))
+    if plain:
+        raw = t.encode()
+        alnum, digits = len(raw.translate(None, _NO_LETTER)), len(raw.translate(None, _NO_DIGIT))
+    else:
+        alnum, digits = (sum(map(len, p.findall(t))) for p in (_LETTERS, _DIGITS))
     if cjk:
         # no blanks between words: two characters make a word, common words are looked for anywhere
         n_words = max(1, wide // 2) + sum(1 for w in words if not _HAN.search(w))
@@ -83,12 +92,18 @@ def figures(text: str, common: dict[str, frozenset[str]]) -> Figures:
         share = hits / n_words
     else:
         n_words = len(words)
-        share = max((sum(map(ws.__contains__, words)) for ws in common.values()), default=0) / max(1, len(tokens), n_words)
-    size = max(1, sum(len(x) for x in lines))
+        by_word = _languages(common)
+        seen = Counter(chain.from_iterable(by_word[w] for w in words if w in by_word))
+        best, hits = max(((k, seen[k]) for k in sorted(seen)), key=lambda x: x[1], default=("", 0))
+        share = hits / max(1, len(tokens), n_words)
+        if n_words >= 12:
+            own = common.get(best, frozenset())
+            rare, kinds = max(map(len, "".join("1" if w in own else "0" for w in words).split("1"))), len(own.intersection(words))
+    size = max(1, sum(map(len, lines)))
     in_list = in_table = ended = short = 0
     for x in lines:
         lw = n_words if len(lines) == 1 and not cjk else _count(x, cjk)
-        end = bool(_END.search(x))
+        end = _ends(x)
         ended += end
         short += lw < 5 and not end
         kind = _line_kind(x, lw)
@@ -96,19 +111,41 @@ def figures(text: str, common: dict[str, frozenset[str]]) -> Figures:
         in_table += len(x) * (kind == 2)
     if _regular(lines):
         in_table = size
-    odd = sum(1 for w in tokens if _is_odd(w)) / max(1, len(tokens)) if not cjk else 0.0
+    odd = sum(map(_is_odd, tokens)) / max(1, len(tokens)) if not cjk else 0.0
     has_words = (_HAN if cjk else _ASCII_LETTERS if plain else _LETTERS).search
-    segments = sum(1 for x in _SEGMENT.split("\n".join(lines)) if has_words(x))
-    sentences = sum(1 for x in _STOP.split(" ".join(lines)) if has_words(x))
-    units = _HAN.findall(t) if cjk else [w.lower() for w in tokens]
+    segments = sum(1 for x in _SEGMENT.split("\n".join(lines)) if x and has_words(x))
+    sentences = sum(1 for x in _STOP.split(" ".join(lines)) if x and has_words(x))
+    units = _HAN.findall(t) if cjk else low.split()
     return Figures(
         len(text), n_words, sum(map(len, words)) / max(1, len(words)), (solid - alnum - digits) / max(1, solid),
         digits / max(1, solid), len(lines), ended / max(1, len(lines)), share, in_list / size, in_table / size,
         sum(len(m) for m in _MARKUP.findall(t)) / max(1, len(t)) if "<" in t or "&" in t or "{{" in t else 0.0, odd, len(set(units)) / max(1, len(units)),
         n_words / max(1, segments), n_words / max(1, sentences), short / max(1, len(lines)),
+        rare, kinds,
     )
 
 
+_KNOWN: dict[int, tuple[dict, dict]] = {}
+
+
+def _languages(common: dict[str, frozenset[str]]) -> dict[str, tuple[str, ...]]:
+    """The languages of each common word; made once for each table of words."""
+    known = _KNOWN.get(id(common))
+    if known is None or known[0] is not common:
+        by: dict[str, tuple[str, ...]] = {}
+        for lang in sorted(common):
+            for w in common[lang]:
+                by[w] = by.get(w, ()) + (lang,)
+        _KNOWN.clear()
+        known = _KNOWN[id(common)] = (common, by)
+    return known[1]
+
+
+def _ends(x: str) -> bool:
+    """Whether a line ends in punctuation, closing marks aside."""
+    return x.rstrip().rstrip(_CLOSING)[-1:] in _STOPS
+
+
 def _regular(lines: list[str]) -> bool:
     """Whether nearly all lines have the same number of fields, or a field's name in front."""
     if len(lines) < 4:
@@ -145,8 +182,10 @@ def _line_kind(x: str, words: int) -> int:
         return 1
     if _MARKER.match(x) and words <= 14:
         return 1
-    if _PAIR.match(x) and words <= 9 and not _END.search(x):
+    if _PAIR.match(x) and words <= 9 and not _ends(x):
         return 2
+    if sum(map(x.count, _SEPARATORS)) < 3:
+        return 0
     for pattern, most in ((_SEPARATED, 4.8), (_COMMAS, 3.6)):
         parts = sum(1 for p in pattern.split(x) if p.strip())
         if parts >= 4 and words / parts < most:

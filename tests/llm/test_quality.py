@@ -57,3 +57,26 @@ def test_empty(spark):
 def test_very_long_text():
     f = figures("the boat and the lamp " * 50_000, {"en": frozenset(["the", "and"])})
     assert f.n_words == 250_000 and abs(f.common_share - 0.6) < 1e-9
+
+
+def test_the_model_learns(spark, monkeypatch):
+    """Cases barely depend on the start nor on any one threshold."""
+    d = "/root/testdata/sf0.01"
+    docs, words = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/common_words.parquet")
+    figs = quality.text_figures(docs, words).where("n_chars is not null").cache()
+
+    def cases(start=quality.START):
+        coded = figs.select("doc_id", quality.pattern().alias("code")).toPandas()
+        codes, at, n = np.unique(coded["code"].to_numpy(np.int64), return_inverse=True, return_counts=True)
+        return set(coded["doc_id"][quality.learn(codes, n.astype(float), start)[at, 0] < 0.5])
+
+    base = cases()
+    assert len(base) > 200 and len(base ^ cases(2.0)) <= 0.02 * len(base) and len(base ^ cases(8.0)) <= 0.02 * len(base)
+    whole = quality.FUNCTIONS
+    for k, (name, cuts, levels) in enumerate(whole):
+        for f in (0.8, 1.2):
+            moved = [*whole]
+            moved[k] = (name, tuple(c * f for c in cuts), levels)
+            monkeypatch.setattr(quality, "FUNCTIONS", tuple(moved))
+            assert len(base - cases()) <= 0.02 * len(base), (name, f)
+    figs.unpersist()
