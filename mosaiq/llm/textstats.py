@@ -18,6 +18,9 @@ _ASCII_WORD, _ASCII_LETTERS = re.compile(r"[A-Za-z]+(?:['\-][A-Za-z]+)*"), re.co
 _HAN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Thai}]")
 _NO_LETTER = bytes(b for b in range(256) if not chr(b).isalpha() or b > 127)
 _NO_DIGIT = bytes(b for b in range(256) if not 48 <= b <= 57)
+_LINE_ENDS, _ASCII_SEPARATORS = b"\n\r\v\f\x1c\x1d\x1e", b".!?;,|\t"
+_ONE_SEPARATOR = bytes.maketrans(_LINE_ENDS + _ASCII_SEPARATORS, b"\n" * 14)
+_NO_LETTER_NOR_SEPARATOR = bytes(b for b in _NO_LETTER if b not in _LINE_ENDS + _ASCII_SEPARATORS)
 _STOPS, _CLOSING = frozenset(".!?…。！？"), "\"'”’»)]*_"
 _STOP = re.compile(r"[.!?…。！？]+[\"'”’»)\]]*(?:\s|$)|[。！？]")
 _MARKER = regex.compile(r"^\s*(?:[-*•·‣◦▪●○■□–—+>☐☑☒✓✔✗→]+|\[[ xX✓]?\]|\(?\p{Nd}{1,3}[.)]|\(?\p{L}[.)]|\p{Nd}{1,3}\s*[-–:])\s+\S")
@@ -68,7 +71,8 @@ def han(text: str) -> int:
 
 def figures(text: str, common: dict[str, frozenset[str]]) -> Figures:
     """``common``: words of each language, lower case. The language that fits best counts, whatever the row says."""
-    t = _INVISIBLE.sub("", text).replace("\u00a0", " ").replace("\u3000", " ")
+    plain = text.isascii()
+    t = text if plain else _INVISIBLE.sub("", text).replace("\u00a0", " ").replace("\u3000", " ")
     tokens = t.split()
     solid = sum(map(len, tokens))
     lines = [x for x in t.splitlines() if x.strip()]  # line ends of all sorts
@@ -76,13 +80,19 @@ def figures(text: str, common: dict[str, frozenset[str]]) -> Figures:
     cjk = wide > 0.3 * max(1, solid)
     rare, kinds = 6, 2
     low = t.lower()
-    plain = t.isascii()
-    words = (_ASCII_WORD if plain else _WORD).findall(low)
+    by_line = [(_ASCII_WORD if x.isascii() else _WORD).findall(x) for x in low.splitlines() if x.strip()]
+    words = by_line[0] if len(by_line) == 1 else [*chain.from_iterable(by_line)]
     if plain:
         raw = t.encode()
         alnum, digits = len(raw.translate(None, _NO_LETTER)), len(raw.translate(None, _NO_DIGIT))
     else:
-        alnum, digits = (sum(map(len, p.findall(t))) for p in (_LETTERS, _DIGITS))
+        alnum = digits = 0
+        for x in lines:
+            if x.isascii():
+                raw = x.encode()
+                alnum, digits = alnum + len(raw.translate(None, _NO_LETTER)), digits + len(raw.translate(None, _NO_DIGIT))
+            else:
+                alnum, digits = alnum + sum(map(len, _LETTERS.findall(x))), digits + sum(map(len, _DIGITS.findall(x)))
     if cjk:
         # no blanks between words: two characters make a word, common words are looked for anywhere
         n_words = max(1, wide // 2) + sum(1 for w in words if not _HAN.search(w))
@@ -93,16 +103,16 @@ def figures(text: str, common: dict[str, frozenset[str]]) -> Figures:
     else:
         n_words = len(words)
         by_word = _languages(common)
-        seen = Counter(chain.from_iterable(by_word[w] for w in words if w in by_word))
+        seen = Counter(chain.from_iterable(filter(None, map(by_word.get, words))))
         best, hits = max(((k, seen[k]) for k in sorted(seen)), key=lambda x: x[1], default=("", 0))
         share = hits / max(1, len(tokens), n_words)
         if n_words >= 12:
             own = common.get(best, frozenset())
-            rare, kinds = max(map(len, "".join("1" if w in own else "0" for w in words).split("1"))), len(own.intersection(words))
+            rare, kinds = max(map(len, bytes(map(own.__contains__, words)).split(b"\1"))), len(own.intersection(words))
     size = max(1, sum(map(len, lines)))
     in_list = in_table = ended = short = 0
-    for x in lines:
-        lw = n_words if len(lines) == 1 and not cjk else _count(x, cjk)
+    for x, own_words in zip(lines, by_line):
+        lw = (len(_HAN.findall(x)) + 1) // 2 if cjk else len(own_words)
         end = _ends(x)
         ended += end
         short += lw < 5 and not end
@@ -113,7 +123,11 @@ def figures(text: str, common: dict[str, frozenset[str]]) -> Figures:
         in_table = size
     odd = sum(map(_is_odd, tokens)) / max(1, len(tokens)) if not cjk else 0.0
     has_words = (_HAN if cjk else _ASCII_LETTERS if plain else _LETTERS).search
-    segments = sum(1 for x in _SEGMENT.split("\n".join(lines)) if x and has_words(x))
+    if plain:  # the same on bytes: separators become one sign, everything else that is no letter goes
+        flat = raw.replace(b"  ", b"\n").replace(b" - ", b"\n").replace(b" / ", b"\n").translate(_ONE_SEPARATOR, _NO_LETTER_NOR_SEPARATOR)
+        segments = len([*filter(None, flat.split(b"\n"))])
+    else:
+        segments = sum(1 for x in _SEGMENT.split("\n".join(lines)) if x and has_words(x))
     sentences = sum(1 for x in _STOP.split(" ".join(lines)) if x and has_words(x))
     units = _HAN.findall(t) if cjk else low.split()
     return Figures(
@@ -155,13 +169,7 @@ def _regular(lines: list[str]) -> bool:
         most = max(set(n), key=n.count)
         if most >= 2 and n.count(most) >= 0.8 * len(lines):
             return True
-    return sum(1 for x in lines if _NAMED.match(x)) >= 0.8 * len(lines)
-
-
-def _count(x: str, cjk: bool) -> int:
-    if cjk:
-        return (len(_HAN.findall(x)) + 1) // 2
-    return len((_ASCII_WORD if x.isascii() else _WORD).findall(x))
+    return sum(1 for x in lines if (":" in x or "=" in x) and _NAMED.match(x)) >= 0.8 * len(lines)
 
 
 def _line_kind(x: str, words: int) -> int:
@@ -170,7 +178,7 @@ def _line_kind(x: str, words: int) -> int:
     bars, tabs, semis = x.count("|"), x.strip().count("\t"), x.count(";")
     spaced = "  " in x.strip()
     gaps, wide = (len(_GAP.findall(x)), len(_WIDE_GAP.findall(x))) if spaced else (0, 0)
-    if (wide and words / (wide + 1) < 4.5) or cells >= 2 or tabs >= 2 or (gaps >= 2 and words / (gaps + 1) < 4) or (len(x) > 3 and _RULE.match(x) and bars >= 2):
+    if (wide and words / (wide + 1) < 4.5) or cells >= 2 or tabs >= 2 or (gaps >= 2 and words / (gaps + 1) < 4) or (bars >= 2 and len(x) > 3 and _RULE.match(x)):
         return 2
     if x.lstrip().startswith("|") and bars >= 3 or ('";"' in x) or ('","' in x):
         return 2
@@ -180,9 +188,10 @@ def _line_kind(x: str, words: int) -> int:
             return 2
     if "#" in x and len(_HASHTAG.findall(x)) * 2 > len(x.split()):
         return 1
-    if _MARKER.match(x) and words <= 14:
+    lead = x.lstrip()[:2]
+    if words <= 14 and not (lead[0].isalpha() and lead[1:] not in ".)") and _MARKER.match(x):
         return 1
-    if _PAIR.match(x) and words <= 9 and not _ends(x):
+    if words <= 9 and (":" in x or "=" in x or "\t" in x or "->" in x) and _PAIR.match(x) and not _ends(x):
         return 2
     if sum(map(x.count, _SEPARATORS)) < 3:
         return 0
