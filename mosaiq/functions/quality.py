@@ -127,9 +127,16 @@ def fetch_k(k: int, times: int, least: int) -> int:
     return min(2**31 - 1, max(max(k, 1) * max(times, 1), max(least, 1)))
 
 
+def fetch_k_of(k: Column, times: Column, least: Column) -> Column:
+    """The same of columns."""
+    one = F.lit(1).cast("bigint")
+    return F.least(F.lit(2**31 - 1).cast("bigint"), F.greatest(F.greatest(k, one) * F.greatest(times, one), least, one))
+
+
 def stable_id(*parts: Column) -> Column:
-    """Non-negative 63-bit id from the parts."""
-    return F.xxhash64(*parts).bitwiseAND(F.lit((1 << 63) - 1))
+    """Non-negative 60-bit id from the parts: the first 15 digits of their MD5."""
+    digits = F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary")), 1, 15)
+    return F.conv(digits, 16, 10).cast("bigint")
 
 
 def fusion(emb: Column, inlier: Column, iou: Column, points: Column, a: float = 0.5, b: float = 0.3, c: float = 0.2) -> Column:

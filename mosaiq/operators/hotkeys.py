@@ -50,7 +50,7 @@ def distinct_ranks(df: DataFrame, key: str, value: str, probs: tuple[float, ...]
     cells of 2^(6+8j) values down to the bitmap that holds the rank.
     """
     cells = cut(distinct_cells(df, key, value))
-    want, cells = _refined(cells, "n", probs)
+    want, cells = _refined(cells, "n", {float(p): _rank(p) for p in probs})
     leaf = cells.select("key", F.col("cell").alias("c"), "bits")
     found = want.join(leaf, ["key", "c"])
     # the r-th set bit: the only position whose bit is set with r bits up to and including it
@@ -66,6 +66,16 @@ def key_quantiles(df: DataFrame, key: str, value: str, probs: tuple[float, ...])
 
     Rank max(1, ceil(p * n)); null keys, null values and NaN are left out; -0.0 counts as 0.0.
     """
+    return key_ranks(df, key, value, {float(p): _rank(p) for p in probs})
+
+
+def _rank(p: float) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * F.col("n"))).cast("bigint")
+
+
+def key_ranks(df: DataFrame, key: str, value: str, ranks: dict) -> DataFrame:
+    """``key, n, prob, value`` as ``key_quantiles``: for each name in ``ranks`` (in the column ``prob``), the value of the
+    1-based rank that its expression gives from ``n``; names are of one type. Ranks outside 1 to n give no row."""
     v = F.col(value).cast("double") + F.lit(0.0)
     base = (
         df.select(F.col(key).alias("key"), v.alias("v"))
@@ -74,12 +84,12 @@ def key_quantiles(df: DataFrame, key: str, value: str, probs: tuple[float, ...])
         .agg(F.count(F.lit(1)).alias("m"))
     )
     base = cut(base.withColumn("cell", _ordered_bits(F.col("v"))))
-    want, base = _refined(base, "m", probs)
+    want, base = _refined(base, "m", ranks)
     leaf = base.select("key", F.col("cell").alias("c"), "v")
     return want.join(leaf, ["key", "c"]).select("key", "n", "prob", F.col("v").alias("value"))
 
 
-def _refined(cells: DataFrame, count: str, probs: tuple[float, ...]) -> tuple[DataFrame, DataFrame]:
+def _refined(cells: DataFrame, count: str, ranks: dict) -> tuple[DataFrame, DataFrame]:
     """``key, n, prob, r, c``: the finest cell of each wanted rank and the rank within it; and the cells left (of those
     given, in the neighbourhood of the wanted ones)."""
     ends = cells.agg(F.min("cell"), F.max("cell")).first()
@@ -91,7 +101,7 @@ def _refined(cells: DataFrame, count: str, probs: tuple[float, ...]) -> tuple[Da
     for shift in range(top, -1, -BITS):
         step = cells.groupBy("key", F.expr(f"shiftright(cell, {shift})").alias("c")).agg(F.sum(count).alias("m"))
         if want is None:
-            want = _narrow(_wanted(step.groupBy("key").agg(F.sum("m").alias("n")), probs), step, ["key"])
+            want = _narrow(_wanted(step.groupBy("key").agg(F.sum("m").alias("n")), ranks), step, ["key"])
         else:
             step = step.withColumn("up", F.expr(f"shiftright(c, {BITS})"))
             want = _narrow(want.withColumnRenamed("c", "up"), step, ["key", "up"])
@@ -102,10 +112,9 @@ def _refined(cells: DataFrame, count: str, probs: tuple[float, ...]) -> tuple[Da
     return want, cells
 
 
-def _wanted(n: DataFrame, probs: tuple[float, ...]) -> DataFrame:
-    each = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
-    rank = F.greatest(F.lit(1), F.ceil(F.col("prob") * F.col("n"))).cast("bigint")
-    return n.select("key", "n", each).withColumn("r", rank)
+def _wanted(n: DataFrame, ranks: dict) -> DataFrame:
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("prob"), r.cast("bigint").alias("r")) for name, r in ranks.items()]))
+    return n.select("key", "n", each.alias("x")).select("key", "n", "x.prob", "x.r")
 
 
 def _narrow(want: DataFrame, step: DataFrame, on: list[str]) -> DataFrame:

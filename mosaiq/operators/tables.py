@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mosaiq.operators.hotkeys import key_ranks
+from mosaiq.session import save
+
 
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
     """A page of rows in a unique order."""
@@ -53,23 +56,37 @@ def top_two_gap(df: DataFrame, group: list[str], score: str) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, group: list[str], value: str, probs: dict[str, float], floor: bool = False) -> DataFrame:
-    """Values at the 0-based rank round(p (n - 1)), or floor(p n), of each group in ascending order; no interpolation."""
-    w = Window.partitionBy(*group).orderBy(value) if group else Window.orderBy(value)
-    n = Window.partitionBy(*group) if group else Window.partitionBy()
-    d = df.where(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(n))
-    at = {name: (F.least(F.floor(p * F.col("_n")), F.col("_n") - 1) if floor else F.floor(p * (F.col("_n") - 1) + 0.5)) for name, p in probs.items()}
-    aggs = [F.max(F.when(F.col("_k") == k, F.col(value))).alias(name) for name, k in at.items()]
-    return d.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), *aggs)
+    """``group..., n, mean`` and a column for each name in ``probs``: the values at the 0-based rank round(p (n - 1)), or
+    floor(p n), of each group in ascending order; no interpolation. Found by refining histograms, so a group may hold most
+    rows. Null values and NaN are left out; a null group is a group."""
+    n = F.col("n")
+    at = {name: (F.least(F.floor(F.lit(p) * n), n - 1) if floor else F.floor(F.lit(p) * (n - 1) + 0.5)) + 1 for name, p in probs.items()}
+    d = df.where(F.col(value).isNotNull() & ~F.isnan(value)).withColumn("_key", F.to_json(F.struct(*group)) if group else F.lit("{}"))
+    found = key_ranks(d, "_key", value, at)
+    pick = [F.max(F.when(F.col("prob") == name, F.col("value"))).alias(name) for name in probs]
+    picked = found.groupBy(F.col("key").alias("_key")).agg(*pick)
+    about = d.groupBy("_key", *group).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
+    return about.join(picked, "_key").drop("_key")
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def insert(df: DataFrame, rows: DataFrame, ident: str, order: list[Column]) -> DataFrame:
-    """``rows`` with new ids after the greatest. Numbered in one window: meant for a batch of new rows."""
+def numbered(df: DataFrame, order: list[str], name: str, parts: int = 200) -> DataFrame:
+    """1-based places of the rows in a unique order. Rows are sorted by ranges, and each range is numbered on its own after
+    the number of rows in those before it, so no task sees all."""
+    r = save(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
+    sizes = r.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # at most ``parts`` rows
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    k = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return r.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + k).drop("_p", "_before")
+
+
+def insert(df: DataFrame, rows: DataFrame, ident: str, order: list[str]) -> DataFrame:
+    """``rows`` with new ids after the greatest, in a unique order."""
     last = df.agg(F.coalesce(F.max(ident), F.lit(0)).alias("_last"))
-    new = rows.withColumn("_k", F.row_number().over(Window.orderBy(*order))).join(F.broadcast(last))
+    new = numbered(rows, order, "_k").join(F.broadcast(last))
     new = new.withColumn(ident, F.col("_last") + F.col("_k")).drop("_last", "_k")
     return df.unionByName(new.select(*df.columns))
 

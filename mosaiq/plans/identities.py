@@ -17,9 +17,9 @@ queries = lambda: R.functions
 oracle_sql = lambda: R.sql
 c = F.col
 
-#: The body's vector: the face's elements moved by one place.
-BODY = F.concat(F.slice("vector", 2, 1000), F.slice("vector", 1, 1))
-CHANNELS = {"face": c("vector"), "body": BODY}
+def channels() -> dict:
+    """The vectors of a channel; the body's are the face's elements moved by one place."""
+    return {"face": c("vector"), "body": F.concat(F.slice("vector", 2, 1000), F.slice("vector", 1, 1))}
 
 
 def prototypes(f: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ SEARCH = _evidence(f"{_HEAD}, cand as (select coalesce{_TAIL})")
 
 def candidate_evidence(s, d) -> DataFrame:
     q, f = fq(s, d)
-    return V.identity_evidence(s07_dual_channel(s, d), q, prototypes(f), CHANNELS)
+    return V.identity_evidence(s07_dual_channel(s, d), q, prototypes(f), channels())
 
 
 @R.query(SEARCH + " select qid, person_id, face_rank, body_rank, face_prototypes, face_score, face_second, body_prototypes, body_score, body_second, face_margin, body_margin from e")
@@ -87,4 +87,4 @@ def d09_evaluated_queries(s, d):
     f = X.faces(s, d)
     q = f.where("face_id % 100 = 0").selectExpr("face_id as qid", "image_id as qimage", "vector as qv", "quality", "face_size", "yaw")
     hits = knn(q, f, 30).join(f.select(c("face_id").alias("id"), "person_id"), "id")
-    return V.evaluate(q, F.expr(GATE), hits, prototypes(f), CHANNELS)
+    return V.evaluate(q, F.expr(GATE), hits, prototypes(f), channels())

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.operators import tables as T
 from mosaiq.plans import fixtures as X
 from mosaiq.plans.registry import Registry
-from mosaiq.session import norm_text, read
+from mosaiq.session import norm_text, read, save, shared_dir
+from mosaiq.sources import files
 
 R = Registry()
 queries = lambda: R.functions
@@ -83,10 +86,12 @@ def src02_paged_listing(s, d):
     return T.page(im(s, d), [c("path"), c("image_id")], 100, 50).select("image_id", "path")
 
 
-@q("select event_id, ts, user_id % 4 as priority from events where event_id % 5 = 0 order by user_id % 4 desc, ts, event_id limit 1")
+@q("select event_id, ts, user_id % 4 as priority, case when event_id = (select event_id from events where event_id % 5 = 0 order by user_id % 4 desc, ts, event_id limit 1) then 'running' else 'pending' end as status from events where event_id % 5 = 0")
 def src12_claim_task(s, d):
-    e = read(s, d, "events").where("event_id % 5 = 0").withColumn("priority", c("user_id") % 4)
-    return e.orderBy(F.desc("priority"), "ts", "event_id").limit(1).select("event_id", "ts", "priority")
+    """The task of the highest priority, the oldest of these, changes its state; the queue after it."""
+    e = read(s, d, "events").where("event_id % 5 = 0").select("event_id", "ts", (c("user_id") % 4).alias("priority"), F.lit("pending").alias("status"))
+    claimed = e.orderBy(F.desc("priority"), "ts", "event_id").limit(1).select("event_id", F.lit("running").alias("status"))
+    return T.update(e, F.broadcast(claimed), "event_id", ["status"])
 
 
 # ---- predicates
@@ -289,9 +294,11 @@ def a04_distinct_versions(s, d):
     return read(s, d, "face_features").select(F.coalesce("model_version", F.lit("<NULL>")).alias("version")).distinct()
 
 
-@q("select coalesce(max(batch_id), 0) as generation from new_images where batch_id < 0")
+@q("select coalesce(max(batch_id), 0) as generation, coalesce(max(case when path is null then batch_id end), 0) as pathless, coalesce(max(batch_id) filter (where batch_id < 0), 0) as none from new_images")
 def a05_max_or_zero(s, d):
-    return read(s, d, "new_images").where("batch_id < 0").agg(F.coalesce(F.max("batch_id"), F.lit(0)).cast("bigint").alias("generation"))
+    top = lambda x, name: F.coalesce(F.max(x), F.lit(0)).cast("bigint").alias(name)
+    b = c("batch_id")
+    return read(s, d, "new_images").agg(top(b, "generation"), top(F.when(c("path").isNull(), b), "pathless"), top(F.when(b < 0, b), "none"))
 
 
 @q("select pe.person_id, coalesce(n, 0) as n from pe left join (select person_id, count(*) as n from fa group by 1) using (person_id)")
@@ -470,11 +477,11 @@ def u05_intersection(s, d):
 
 
 # ---- changes
-@q("select image_id, path from im union all select (select max(image_id) from im) + row_number() over (order by new_image_id), path from (select distinct new_image_id, path from new_images where batch_id = 1)")
+@q("select image_id, path from im union all select (select max(image_id) from im) + row_number() over (order by new_image_id), path from (select new_image_id, min(path) as path from new_images group by 1)")
 def m01_insert(s, d):
     i = im(s, d).select("image_id", "path")
-    rows = read(s, d, "new_images").where("batch_id = 1").select("new_image_id", "path").distinct()
-    return T.insert(i, rows, "image_id", [c("new_image_id")])
+    rows = read(s, d, "new_images").groupBy("new_image_id").agg(F.min("path").alias("path"))
+    return T.insert(i, rows, "image_id", ["new_image_id"])
 
 
 @q("select person_id, name, face_count from persons qualify row_number() over (partition by person_id order by updated_at desc) = 1")
@@ -495,17 +502,75 @@ def m06_delete_cascade(s, d):
     return T.lookup(fa(s, d), faces, "face_id").select("assignment_id")
 
 
-@q("select person_id, not (face_count is null or face_count = 0) as is_active from pe")
+@q("select person_id, name, face_count, not (face_count is null or face_count = 0) as is_active, case when face_count is null or face_count = 0 then 'deleted' else status end as status from pe")
 def m07_soft_delete(s, d):
-    return pe(s, d).select("person_id", (~(c("face_count").isNull() | (c("face_count") == 0))).alias("is_active"))
+    """Persons without faces stay, marked; reading the active ones leaves them out."""
+    p = pe(s, d).select("person_id", "name", "face_count", "status").withColumn("is_active", F.lit(True))
+    gone = p.where("face_count is null or face_count = 0").select("person_id", F.lit(False).alias("is_active"), F.lit("deleted").alias("status"))
+    return T.update(p, gone, "person_id", ["is_active", "status"]).select("person_id", "name", "face_count", "is_active", "status")
+
+
+@q("select 'active' as state, count(*) as n from pe where face_count <> 0 union all select 'deleted', count(*) from pe where face_count is null or face_count = 0 union all select 'visible faces', count(*) from fa join pe using (person_id) where pe.face_count <> 0")
+def m07_reading_after_soft_delete(s, d):
+    p = m07_soft_delete(s, d)
+    faces = T.lookup(fa(s, d).where("person_id is not null"), p.where("is_active"), "person_id")
+    n = lambda x, name: x.agg(F.lit(name).alias("state"), N.alias("n"))
+    return T.union_all([n(p.where("is_active"), "active"), n(p.where("not is_active"), "deleted"), n(faces, "visible faces")])
+
+
+GOOD = "embedding is not null and len(embedding) = 128 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0))"
+
+
+def _index(s, d):
+    """Three phases: all rows pending; what can be inserted goes to a new index in the shared folder; then the states
+    follow from what the index holds. The index and the states."""
+    pending = ff(s, d).select("face_id", "embedding", F.lit("pending").alias("status"))
+    e = c("embedding")
+    good = (F.size(e) == 128) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
+    root = f"{shared_dir(s)}/indexes-{uuid.uuid4().hex}"
+    files.save_index(pending.where(e.isNotNull() & good).select("face_id", c("embedding").alias("vector")), root)
+    index = files.newest_index(s, root)
+    in_it = index.select("face_id", F.lit("indexed").alias("status"))
+    states = T.update(pending.select("face_id", "status"), in_it, "face_id", ["status"])
+    return index, states.withColumn("status", F.when(c("status") == "pending", "failed").otherwise(c("status")))
 
 
-@q("select face_id, case when embedding is not null and len(embedding) = 128 then 'indexed' else 'failed' end as status from ff")
+@q(f"select face_id, case when coalesce({GOOD}, false) then 'indexed' else 'failed' end as status from ff")
 def m08_m09_index_write(s, d):
-    ok = c("embedding").isNotNull() & (F.size("embedding") == 128)
-    return ff(s, d).select("face_id", F.when(ok, "indexed").otherwise("failed").alias("status"))
+    return _index(s, d)[1]
+
+
+@q(f"select face_id, round(list_sum(list_transform(embedding, lambda x: x::double)), 4) as total from ff where {GOOD} and face_id not in (select face_id from fa where lower(trim(status)) = 'rejected' and face_id is not null)")
+def m09_index_rebuild(s, d):
+    """A new version of the index from the indexed rows, without the faces of rejected assignments; readers find the newest
+    version."""
+    index, states = _index(s, d)
+    root = f"{shared_dir(s)}/indexes-{uuid.uuid4().hex}"
+    files.save_index(index, root)
+    rejected = fa(s, d).where(norm_text(c("status")) == "rejected").select("face_id")
+    kept = T.delete(T.lookup(index, states.where("status = 'indexed'"), "face_id"), rejected, "face_id")
+    files.save_index(kept, root)
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return files.newest_index(s, root).select("face_id", F.round(total, 4).alias("total"))
+
+
+@q("select image_id, path, 0::bigint as face_count, 0::bigint as object_count, 'pending' as scan_status, (select max(generation) from (select coalesce(max(batch_id), 0) + 1 as generation from new_images)) as generation from im")
+def m10_reset(s, d):
+    """Everything is to be indexed anew, under the next generation; nothing else of the images is lost."""
+    g = read(s, d, "new_images").agg((F.coalesce(F.max("batch_id"), F.lit(0)) + 1).alias("generation"))
+    zero = F.lit(0).cast("bigint")
+    return im(s, d).select("image_id", "path", zero.alias("face_count"), zero.alias("object_count"), F.lit("pending").alias("scan_status")).join(F.broadcast(g))
+
+
+@q("select count(*) as rows, 0::bigint as left_over, count(distinct face_id) as ids from ff")
+def m11_migration_copies_all(s, d):
+    """The new table holds a row for each old one, and none is left over."""
+    old, new = ff(s, d), m11_migration(s, d)
+    lost = T.delete(old.select("face_id"), new, "face_id").agg(N.alias("left_over"))
+    return new.agg(N.alias("rows"), F.countDistinct("face_id").alias("ids")).join(lost).select("rows", "left_over", "ids")
 
 
 @q("select face_id, image_id, bbox_x as x, bbox_y as y, bbox_w as w, bbox_h as h, 1 as schema_version from ff")
 def m11_migration(s, d):
-    return ff(s, d).selectExpr("face_id", "image_id", "bbox_x as x", "bbox_y as y", "bbox_w as w", "bbox_h as h", "1 as schema_version")
+    """Copied into a table of the new schema, which is then read."""
+    return save(ff(s, d).selectExpr("face_id", "image_id", "bbox_x as x", "bbox_y as y", "bbox_w as w", "bbox_h as h", "1 as schema_version"))

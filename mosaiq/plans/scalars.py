@@ -247,16 +247,15 @@ def f21_f30_names_and_types(s, d):
     return i.select("image_id", Q.base_name(c("path")).alias("name"), Q.extension(c("path")).alias("ext"), Q.mime(c("path")).alias("mime")).distinct()
 
 
-@R.query("select 10 as k, 4 as times, 40 as fetch union all select 0, 0, 20 union all select 5, 2, 20")
+@R.query("select distinct person_id, face_count, body_count, cast(least(2147483647, greatest(greatest(coalesce(face_count, 0), 1) * greatest(coalesce(body_count, 0), 1), 20)) as bigint) as fetch from persons")
 def f22_fetch_k(s, d):
-    rows = [(10, 4, Q.fetch_k(10, 4, 20)), (0, 0, Q.fetch_k(0, 0, 20)), (5, 2, Q.fetch_k(5, 2, 20))]
-    return s.createDataFrame(rows, "k int, times int, fetch int")
+    p = read(s, d, "persons").select("person_id", "face_count", "body_count").distinct()
+    return p.withColumn("fetch", Q.fetch_k_of(F.coalesce("face_count", F.lit(0)), F.coalesce("body_count", F.lit(0)), F.lit(20)))
 
 
-@R.query("select count(distinct image_id) as ids, true as positive from images")
+@R.query("select distinct image_id, cast('0x' || md5('image|' || image_id)[1:15] as bigint) as id from images")
 def f23_stable_ids(s, d):
-    i = read(s, d, "images").select(Q.stable_id(F.lit("image"), F.col("image_id")).alias("i"), "image_id")
-    return i.agg(F.countDistinct("i").alias("ids"), (F.min("i") >= 0).alias("positive"))
+    return read(s, d, "images").select("image_id", Q.stable_id(F.lit("image"), c("image_id")).alias("id")).distinct()
 
 
 @R.query("select doc_id, sha256(text) as hash from documents where text is not null")
@@ -264,9 +263,12 @@ def f24_content_hash(s, d):
     return read(s, d, "documents").where("text is not null").select("doc_id", F.sha2(c("text").cast("binary"), 256).alias("hash"))
 
 
-@R.query("select event_id, json_extract_string(props, '$.k') as k from events")
+@R.query("select event_id, event_type as kind, json_extract_string(props, '$.k') as k from events")
 def f29_json_field(s, d):
-    return read(s, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    """Tag and field of an externally tagged enum, made of the event's type and properties."""
+    e = read(s, d, "events").withColumn("json", F.concat(F.lit('{"'), "event_type", F.lit('":'), "props", F.lit("}")))
+    tag, k = Q.json_kind(c("json"), ["view", "signup", "click", "error", "purchase"], "k")
+    return e.select("event_id", tag.alias("kind"), k.alias("k"))
 
 
 @R.query("select distinct image_id, coalesce(hash, path) as asset from images")

@@ -18,6 +18,7 @@ from mosaiq.operators import tables as T
 from mosaiq.plans import fixtures as X
 from mosaiq.plans.registry import Registry
 from mosaiq.plans.relational import VIEWS, ff
+from mosaiq.plans.searches import H, hist
 from mosaiq.session import read, shared_dir
 from mosaiq.sources import files
 from mosaiq.streaming import events as E
@@ -83,12 +84,6 @@ def k12_chain_capture(s, d):
     return K.chain_capture(X.faces(s, d), "0", "1", 0.3)
 
 
-MATCH = f"""with {X.FACES}, p as (select a.face_id as a, b.face_id as b, round(list_dot_product(a.vector, b.vector), 6) as s from faces a join faces b on a.identity = 0 and b.identity = 0 and a.face_id % 2 = 0 and b.face_id % 2 = 1),
-x as (select *, row_number() over (partition by a order by s desc, b) as ra, row_number() over (partition by b order by s desc, a) as rb from p),
-f as (select a, max(b) filter (where ra = 1) as b, max(s) filter (where ra = 1) as s1, max(s) filter (where ra = 2) as s2 from x group by a)
-select f.a, f.b, f.s1 as score from f join x on x.a = f.a and x.b = f.b where x.rb = 1 and round(sqrt(greatest(2 - 2 * f.s1, 0)), 6) < round(0.98 * sqrt(greatest(2 - 2 * coalesce(f.s2, -1e9), 0)), 6)"""
-
-
 def _ratio_matches(ab: DataFrame, ba: DataFrame, *keys: str) -> DataFrame:
     """``ab``: the two best of each a, ``ba``: the best of each b; ``keys`` are the columns that both have beside."""
     pick = lambda k, v: F.max(F.when(c("rank") == k, c(v)))
@@ -99,24 +94,16 @@ def _ratio_matches(ab: DataFrame, ba: DataFrame, *keys: str) -> DataFrame:
     return j.where(ok).select(*keys, "a", "b", c("s1").alias("score"))
 
 
-@R.query(MATCH)
-def k07_ratio_match(s, d):
-    """Mutual nearest neighbours whose distance is under .98 of the second one's; a single candidate always passes."""
-    f = X.faces(s, d).where("identity = 0")
-    a, b = f.where("face_id % 2 = 0"), f.where("face_id % 2 = 1")
-    q = lambda x: x.select(c("face_id").alias("qid"), c("vector").alias("qv"))
-    return _ratio_matches(S.knn(q(a), b, 2), S.knn(q(b), a, 1))
-
-
-WHOLE_MATCH = f"""with {X.FACES}, p as (select a.identity, a.face_id as a, b.face_id as b, round(list_dot_product(a.vector, b.vector), 6) as s from faces a join faces b on a.identity = b.identity and a.face_id % 2 = 0 and b.face_id % 2 = 1),
+MATCH = f"""with {X.FACES}, p as (select a.identity, a.face_id as a, b.face_id as b, round(list_dot_product(a.vector, b.vector), 6) as s from faces a join faces b on a.identity = b.identity and a.face_id % 2 = 0 and b.face_id % 2 = 1),
 x as (select *, row_number() over (partition by a order by s desc, b) as ra, row_number() over (partition by b order by s desc, a) as rb from p),
 f as (select a, max(b) filter (where ra = 1) as b, max(s) filter (where ra = 1) as s1, max(s) filter (where ra = 2) as s2 from x group by a)
 select x.identity, f.a, f.b, f.s1 as score from f join x on x.a = f.a and x.b = f.b where x.rb = 1 and round(sqrt(greatest(2 - 2 * f.s1, 0)), 6) < round(0.98 * sqrt(greatest(2 - 2 * coalesce(f.s2, -1e9), 0)), 6)"""
 
 
-@R.query(WHOLE_MATCH)
-def k07_ratio_match_whole(s, d):
-    """The same between the two halves of every identity."""
+@R.query(MATCH)
+def k07_ratio_match(s, d):
+    """Mutual nearest neighbours between the two halves of every identity whose distance is under .98 of the second one's; a
+    single candidate always passes."""
     f = X.faces(s, d)
     a, b = f.where("face_id % 2 = 0"), f.where("face_id % 2 = 1")
     return _ratio_matches(S.knn_within(a, b, 2, "identity"), S.knn_within(b, a, 1, "identity"), "identity")
@@ -191,9 +178,10 @@ def g14_g15_ransac(s, d):
     return K.match_geometry(f.select("identity", c("face_id").alias("ident"), "x", "y", u.alias("u"), v.alias("v")), "identity")
 
 
-@R.query("select identity, cast(count(*) as bigint) as n from (select label as identity from embeddings) group by 1")
-def v16_k13_counts_by_label(s, d):
-    return X.faces(s, d).groupBy("identity").agg(F.count(F.lit(1)).alias("n"))
+@R.query(H + " select same, cast(sum(n) as bigint) as pairs, cast(coalesce(sum(n) filter (where score >= 0.5), 0) as bigint) as over from h group by 1")
+def k13_pair_counts(s, d):
+    """Pairs of equal and of different identity, and those of a score of .5 or more, by the block kernel."""
+    return hist(s, d).groupBy("same").agg(F.sum("n").alias("pairs"), F.sum(F.when(c("score") >= 0.5, c("n")).otherwise(0)).alias("over"))
 
 
 # ---- streams

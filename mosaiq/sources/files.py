@@ -47,10 +47,10 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def markdown(df: DataFrame, rows: int = 1000) -> str:
-    """A small result as a Markdown table."""
+def markdown(df: DataFrame) -> str:
+    """A report as a Markdown table, all of its rows. The caller knows that it is small."""
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
-    return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in df.limit(rows).collect())])
+    return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in df.toLocalIterator())])
 
 
 def save_index(vectors: DataFrame, root: str) -> str:
