@@ -31,10 +31,16 @@ def matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(a), -1) if len(a) else np.zeros((0, 1))
 
 
-def _top(ids: np.ndarray, q: np.ndarray, gid: np.ndarray, g: np.ndarray, k: int, digits: int) -> pa.RecordBatch:
-    """The k best of g for each row of q, not itself."""
+NO_HITS = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+
+
+def _top(ids: np.ndarray, q: np.ndarray, gid: np.ndarray, g: np.ndarray, k: int, digits: int, lq: np.ndarray | None = None, lg: np.ndarray | None = None, held: tuple | None = None) -> tuple:
+    """The k best of g for each row of q, not itself nor (with labels) one of its label: (place in q, id, score), in order.
+    ``held``: those of rows seen before, which compete."""
     s = np.round(q @ g.T, digits)
     s[ids[:, None] == gid[None, :]] = -np.inf
+    if lq is not None:
+        s[lq[:, None] == lg[None, :]] = -np.inf
     n = min(k, len(gid))
     if n < len(gid):  # all that tie with the k-th are kept, so that the smaller id can win
         least = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
@@ -43,33 +49,47 @@ def _top(ids: np.ndarray, q: np.ndarray, gid: np.ndarray, g: np.ndarray, k: int,
         r, c = np.nonzero(np.ones(s.shape, bool))
     ok = np.isfinite(s[r, c])
     r, c = r[ok], c[ok]
-    order = np.lexsort((gid[c], -s[r, c], r))
-    r, c = r[order], c[order]
+    i, v = gid[c], s[r, c]
+    if held is not None:
+        r, i, v = np.r_[held[0], r], np.r_[held[1], i], np.r_[held[2], v]
+    order = np.lexsort((i, -v, r))
+    r, i, v = r[order], i[order], v[order]
     start = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, int)
     rank = np.arange(len(r)) - np.repeat(start, np.diff(np.r_[start, len(r)]))
-    r, c = r[rank < k], c[rank < k]
-    return pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(gid[c]), pa.array(s[r, c])], ["qid", "id", "score"])
+    return r[rank < k], i[rank < k], v[rank < k]
+
+
+def _rows_of(ids: np.ndarray, top: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids[top[0]]), pa.array(top[1]), pa.array(top[2])], schema=NO_HITS)
 
 
 HITS = "qid bigint, id bigint, score double"
 
 
-def knn(queries: DataFrame, gallery: DataFrame, k: int, qid: str = "qid", qv: str = "qv", gid: str = "face_id", gv: str = "vector", digits: int = 6, limit: int = QUERY_BYTES) -> DataFrame:
+def knn(queries: DataFrame, gallery: DataFrame, k: int, qid: str = "qid", qv: str = "qv", gid: str = "face_id", gv: str = "vector", digits: int = 6, limit: int = QUERY_BYTES, apart: tuple[str, str] | None = None) -> DataFrame:
     """``qid, id, score, rank``: the ``k`` rows of the gallery with the highest score for each query; ids equal to the
-    query's own are left out. Scores are rounded before ranking."""
-    q = queries.select(F.col(qid).cast("bigint").alias("qid"), F.col(qv).cast("array<double>").alias("v")).where("qid is not null and v is not null")
-    g = gallery.select(F.col(gid).cast("bigint").alias("id"), F.col(gv).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    query's own are left out. Scores are rounded before ranking. ``apart``: labels (integers) of queries and of the gallery;
+    rows of the query's label are left out, null being no label. A partition of the gallery gives ``k`` rows for each query
+    at most, whatever its size."""
+    lq, lg = (F.coalesce(F.col(x).cast("bigint"), F.lit(none)) for x, none in zip(apart, (-(1 << 62), -(1 << 62) - 1))) if apart else (F.lit(0), F.lit(0))
+    q = queries.select(F.col(qid).cast("bigint").alias("qid"), F.col(qv).cast("array<double>").alias("v"), lq.cast("bigint").alias("l")).where("qid is not null and v is not null")
+    g = gallery.select(F.col(gid).cast("bigint").alias("id"), F.col(gv).cast("array<double>").alias("v"), lg.cast("bigint").alias("l")).where("id is not null and v is not null")
     size = q.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d")).first()
+    masked = apart is not None
     if size.n * size.d * 8 <= limit:
         t = q.toArrow()
-        ids, m = t.column("qid").to_numpy(), matrix(t.column("v"))
+        ids, m, labels = t.column("qid").to_numpy(), matrix(t.column("v")), t.column("l").to_numpy()
 
         def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, tuple] = {}
             for b in batches:
                 if b.num_rows and len(ids):
-                    gm, gi = matrix(b.column(1)), b.column(0).to_numpy(zero_copy_only=False)
+                    gm, gi, gl = matrix(b.column(1)), b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
                     for s in range(0, len(ids), BLOCK):
-                        yield _top(ids[s : s + BLOCK], m[s : s + BLOCK], gi, gm, k, digits)
+                        e = slice(s, s + BLOCK)
+                        held[s] = _top(ids[e], m[e], gi, gm, k, digits, labels[e] if masked else None, gl, held.get(s))
+            for s, top in held.items():
+                yield _rows_of(ids[s : s + BLOCK], top)
 
         hits = g.mapInArrow(local, HITS)
     else:
@@ -80,10 +100,14 @@ def knn(queries: DataFrame, gallery: DataFrame, k: int, qid: str = "qid", qv: st
 
         def meet(x: pa.Table, y: pa.Table) -> pa.Table:
             if not x.num_rows or not y.num_rows:
-                return pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]).empty_table()
-            gi, gm = y.column("id").to_numpy(), matrix(y.column("v"))
-            qi, qm = x.column("qid").to_numpy(), matrix(x.column("v"))
-            return pa.Table.from_batches([_top(qi[s : s + BLOCK], qm[s : s + BLOCK], gi, gm, k, digits) for s in range(0, len(qi), BLOCK)])
+                return NO_HITS.empty_table()
+            gi, gm, gl = y.column("id").to_numpy(), matrix(y.column("v")), y.column("l").to_numpy()
+            qi, qm, ql = x.column("qid").to_numpy(), matrix(x.column("v")), x.column("l").to_numpy()
+            out = []
+            for s in range(0, len(qi), BLOCK):
+                e = slice(s, s + BLOCK)
+                out.append(_rows_of(qi[e], _top(qi[e], qm[e], gi, gm, k, digits, ql[e] if masked else None, gl)))
+            return pa.Table.from_batches(out)
 
         hits = a.groupBy("qb", "gb").cogroup(b.groupBy("qb", "gb")).applyInArrow(meet, HITS)
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
@@ -107,7 +131,7 @@ def knn_within(queries: DataFrame, gallery: DataFrame, k: int, label: str, ident
             return pa.schema([("c", pa.int64()), ("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]).empty_table()
         gi, gm = y.column("id").to_numpy(), matrix(y.column("v"))
         qi, qm = x.column("id").to_numpy(), matrix(x.column("v"))
-        t = pa.Table.from_batches([_top(qi[s : s + 1024], qm[s : s + 1024], gi, gm, k, digits) for s in range(0, len(qi), 1024)])
+        t = pa.Table.from_batches([_rows_of(qi[s : s + 1024], _top(qi[s : s + 1024], qm[s : s + 1024], gi, gm, k, digits)) for s in range(0, len(qi), 1024)])
         return t.add_column(0, "c", pa.array(np.full(t.num_rows, x.column("c")[0].as_py()), pa.int64()))
 
     hits = a.groupBy("c", "i", "j").cogroup(b.groupBy("c", "i", "j")).applyInArrow(meet, f"c bigint, {HITS}")
@@ -209,6 +233,37 @@ def vector_sums(df: DataFrame, key: str, vector: str, weight: Callable | None =
     return g.select("key", F.transform("z", lambda e: e["x"]).alias("sum"), "weight")
 
 
+def scores_to_means(df: DataFrame, ident: str, label: str, vector: str, digits: int = 6, block: int = BLOCK) -> DataFrame:
+    """``ident, label, other, score``: cosine of each row to the mean of each label, without the row itself in its own. The
+    sums of the labels are cut into blocks that meet every partition's rows as matrices; no join of rows by rows."""
+    rows = df.select(F.col(ident).cast("bigint").alias("id"), F.col(label).cast("bigint").alias("c"), F.col(vector).cast("array<double>").alias("v"))
+    rows = rows.where("id is not null and c is not null and v is not null")
+    sums = vector_sums(rows, "c", "v").select(F.col("key").alias("o"), "sum")
+    n = max(1, math.ceil(sums.count() / block))
+    parts = max(1, rows.rdd.getNumPartitions())
+    a = rows.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    b = sums.withColumn("b", F.pmod(F.xxhash64("o"), F.lit(n)).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def score(x: pa.Table, y: pa.Table) -> pa.Table:
+        names = [ident, label, "other", "score"]
+        if not x.num_rows or not y.num_rows:
+            return pa.schema([*((k, pa.int64()) for k in names[:3]), ("score", pa.float64())]).empty_table()
+        i, c, m = x.column("id").to_numpy(), x.column("c").to_numpy(), matrix(x.column("v"))
+        o, t = y.column("o").to_numpy(), matrix(y.column("sum"))
+        dot, own = m @ t.T, np.einsum("ij,ij->i", m, m)
+        long = np.einsum("ij,ij->i", t, t)[None, :]
+        mine = c[:, None] == o[None, :]
+        # without the row itself: x(t - x), and |t - x|^2 = |t|^2 - 2tx + |x|^2
+        length = np.sqrt(np.maximum(np.where(mine, long - 2 * dot + own[:, None], long), 0))
+        with np.errstate(all="ignore"):
+            s = np.round((dot - mine * own[:, None]) / length, digits)
+        k = len(o)
+        return pa.table([pa.array(i.repeat(k)), pa.array(c.repeat(k)), pa.array(np.tile(o, len(i))), pa.array(s.ravel(), mask=~np.isfinite(s.ravel()))], names=names)
+
+    out = a.groupBy("p", "b").cogroup(b.groupBy("p", "b")).applyInArrow(score, f"{ident} bigint, {label} bigint, other bigint, score double")
+    return out
+
+
 def positions(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.posexplode(vector).alias("pos", "x"))
 

@@ -10,7 +10,7 @@ from mosaiq.operators import similarity as S
 from mosaiq.operators import tables as T
 from mosaiq.plans import fixtures as X
 from mosaiq.plans.registry import Registry
-from mosaiq.plans.relational import VIEWS, fa
+from mosaiq.plans.relational import VIEWS, fa, ff
 
 R = Registry()
 queries = lambda: R.functions
@@ -67,47 +67,66 @@ r as (select face_id, identity, other, round(sum(x * v) / sqrt(sum(v * v)), 6) a
 
 def to_means(s, d) -> DataFrame:
     """``face_id, identity, other, score``: cosine of each face to the mean of each identity, without the face itself in
-    its own. As many rows as faces x identities: the identities are a stated set."""
+    its own. The query is about every identity, so there are as many rows as faces x identities; they are made where the
+    faces are, against blocks of means."""
     f = X.faces(s, d).select("face_id", "identity", "vector")
-    g = S.vector_sums(f, "identity", "vector").select(c("key").alias("other"), "sum", "weight")
-    # the means are a stated set of labels; sent along as long as they are few
-    j = f.join(F.broadcast(g) if g.count() <= 10_000 else g)
-    o = F.when(c("other") == c("identity"), V.subtract("sum", "vector")).otherwise(c("sum"))
-    j = j.withColumn("o", o)
-    return j.select("face_id", "identity", "other", F.round(V.dot("vector", "o") / V.norm("o"), 6).alias("score"))
+    return S.scores_to_means(f, "face_id", "identity", "vector")
 
 
-@R.query(LOO + ", k as (select face_id, identity = other as hit, row_number() over (partition by face_id order by score desc, other) as rank from r) select " + ", ".join(f"round(avg(case when rank <= {k} then 1.0 else 0.0 end), 6) as top{k}" for k in (1, 3, 5)) + " from k where hit")
+@R.query(LOO + ", k as (select face_id, identity = other as hit, row_number() over (partition by face_id order by score desc, other) as rank from r) select " + ", ".join(f"round(avg(case when rank <= {k} then 1.0 else 0.0 end), 6) as top{k}" for k in (1, 3, 5, 10)) + " from k where hit")
 def e13_leave_one_out_identification(s, d):
     w = Window.partitionBy("face_id").orderBy(F.desc("score"), "other")
     k = to_means(s, d).withColumn("rank", F.row_number().over(w)).where("identity = other")
-    return k.agg(*[F.round(F.avg(F.when(c("rank") <= n, 1.0).otherwise(0.0)), 6).alias(f"top{n}") for n in (1, 3, 5)])
+    return k.agg(*[F.round(F.avg(F.when(c("rank") <= n, 1.0).otherwise(0.0)), 6).alias(f"top{n}") for n in (1, 3, 5, 10)])
 
 
-@R.query(LOO + ", g as (select face_id, max(score) filter (where identity = other) as own, max(score) filter (where identity <> other) as rest from r group by 1) select t / 100.0::double as threshold, m / 100.0::double as margin, count(*) filter (where own >= t / 100.0::double and round(own - rest, 6) >= m / 100.0::double) as accepted from g, range(50, 101, 5) a(t), range(0, 21, 5) b(m) group by all")
+RULES = {"score": "o >= t", "margin": "m >= g", "both": "o >= t and m >= g", "either": "o >= t or m >= g", "strict": "(o >= t and m >= g) or o >= 90"}
+
+
+@R.query(LOO + ", g0 as (select face_id, identity, max(score) filter (where identity = other) as own, max(score) filter (where identity <> other) as rest from r group by all), x as (select floor(round(own * 1e6) / 1e4) as o, floor(round((own - rest) * 1e6) / 1e4) as m from g0), j as (select * from x, range(50, 101) a(t), range(0, 21) b(g)) "
+         + " union all ".join(f"select '{n}' as rule, t / 100.0::double as threshold, g / 100.0::double as margin, count(*) filter (where {x}) as accepted from j group by all" for n, x in RULES.items()))
 def e18_rule_grid(s, d):
-    """Faces accepted at each threshold and margin; the grid is fixed."""
+    """Faces accepted by five rules at 51 thresholds and 21 margins. Faces are counted by hundredths of score and margin
+    first, a bounded table; only that meets the grid."""
     g = to_means(s, d).groupBy("face_id").agg(F.max(F.when(c("identity") == c("other"), c("score"))).alias("own"), F.max(F.when(c("identity") != c("other"), c("score"))).alias("rest"))
-    t = s.range(50, 101, 5).select((c("id") / 100.0).alias("threshold"))
-    m = s.range(0, 21, 5).select((c("id") / 100.0).alias("margin"))
-    j = g.join(F.broadcast(t)).join(F.broadcast(m))
-    ok = (c("own") >= c("threshold")) & (F.round(c("own") - c("rest"), 6) >= c("margin"))
-    return j.groupBy("threshold", "margin").agg(F.count_if(ok).alias("accepted"))
+    hundredths = lambda x: F.floor(F.round(x * 1e6) / 1e4)
+    n = g.groupBy(hundredths(c("own")).alias("o"), hundredths(c("own") - c("rest")).alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    grid = s.range(50, 101).select(c("id").alias("t")).join(F.broadcast(s.range(0, 21).select(c("id").alias("g"))))
+    j = n.join(F.broadcast(grid)).groupBy("t", "g").agg(*[F.sum(F.when(F.expr(x), c("n")).otherwise(0)).alias(k) for k, x in RULES.items()])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), c(k).alias("accepted")) for k in RULES]))
+    return j.select((c("t") / 100.0).alias("threshold"), (c("g") / 100.0).alias("margin"), each.alias("x")).select("x.rule", "threshold", "margin", "x.accepted")
 
 
-SWEEP = f"""with {X.FACES}, a as (select t / 20.0::double as alpha from range(0, 21) g(t)), f as (select face_id, det, blur, quality >= 0.5 as good, alpha, round(alpha * det + (1 - alpha) * blur, 4) as s from faces, a)
-select alpha, round(avg(s) filter (where good), 5) as good, round(avg(s) filter (where not good), 5) as bad, round(avg(case when not good and s >= 0.6 then 1.0 when not good then 0.0 end), 6) as far, round(avg(case when good and s < 0.6 then 1.0 when good then 0.0 end), 6) as frr from f group by 1"""
+SWEEP = f"""with {X.FACES}, a as (select t / 20.0::double as alpha from range(0, 21) g(t)), f as (select face_id, det, blur, quality >= 0.5 as good, alpha, round(alpha * det + (1 - alpha) * blur, 4) as s from faces, a),
+k as (select alpha, s, count(*) filter (where good) as p, count(*) filter (where not good) as q from f group by all),
+r as (select *, sum(p) over (partition by alpha order by s desc) / sum(p) over (partition by alpha)::double as tpr, sum(q) over (partition by alpha order by s desc) / sum(q) over (partition by alpha)::double as fpr from k),
+l as (select *, lag(tpr, 1, 0.0) over (partition by alpha order by s desc) as t0, lag(fpr, 1, 0.0) over (partition by alpha order by s desc) as f0 from r),
+u as (select alpha, round(sum((fpr - f0) * (tpr + t0) / 2), 6) as auc, round(min((1 - tpr + fpr) / 2), 6) as eer from l group by 1),
+w as (select alpha, round(s - 0.6, 4) as m, row_number() over (partition by alpha order by s) - 1 as k, count(*) over (partition by alpha) as n from f where good),
+m as (select alpha, max(m) filter (where k = floor(0.5 * (n - 1) + 0.5)) as margin_median, max(m) filter (where k = floor(0.1 * (n - 1) + 0.5)) as margin_p10 from w group by 1),
+z as (select alpha, round(avg(s) filter (where good), 5) as good, round(avg(s) filter (where not good), 5) as bad, round(avg(case when not good and s >= 0.6 then 1.0 when not good then 0.0 end), 6) as far, round(avg(case when good and s < 0.6 then 1.0 when good then 0.0 end), 6) as frr from f group by 1)
+select alpha, good, bad, far, frr, auc, eer, margin_median, margin_p10 from z join u using (alpha) join m using (alpha)"""
 
 
 @R.query(SWEEP)
 def e16_fusion_sweep(s, d):
-    """Two scores fused with each weight of a fixed grid, by false acceptance and rejection."""
+    """Two scores fused with each weight of a fixed grid: false acceptance and rejection, AUC, EER, and the margin of the
+    good ones over the threshold. Faces are counted by weight and score, a bounded table; the rest follows from it."""
     f = X.faces(s, d).select("det", "blur", (c("quality") >= 0.5).alias("good"))
     j = f.join(F.broadcast(s.range(0, 21).select((c("id") / 20.0).alias("alpha"))))
     j = j.withColumn("s", F.round(c("alpha") * c("det") + (1 - c("alpha")) * c("blur"), 4))
-    mean = lambda cond: F.round(F.avg(F.when(cond, c("s"))), 5)
-    rate = lambda cond, hit: F.round(F.avg(F.when(cond & hit, 1.0).when(cond, 0.0)), 6)
-    return j.groupBy("alpha").agg(mean(c("good")).alias("good"), mean(~c("good")).alias("bad"), rate(~c("good"), c("s") >= 0.6).alias("far"), rate(c("good"), c("s") < 0.6).alias("frr"))
+    k = j.groupBy("alpha", "s").agg(F.count_if("good").alias("p"), F.count_if(~c("good")).alias("q"))
+    w, up, every = Window.partitionBy("alpha").orderBy(F.desc("s")), Window.partitionBy("alpha").orderBy("s"), Window.partitionBy("alpha")
+    k = k.withColumn("np", F.sum("p").over(every)).withColumn("tpr", F.sum("p").over(w) / c("np")).withColumn("fpr", F.sum("q").over(w) / F.sum("q").over(every))
+    k = k.withColumn("t0", F.lag("tpr", 1, 0.0).over(w)).withColumn("f0", F.lag("fpr", 1, 0.0).over(w)).withColumn("upto", F.sum("p").over(up))
+    at = lambda p: F.max(F.when((c("upto") > F.floor(p * (c("np") - 1) + 0.5)) & (c("upto") - c("p") <= F.floor(p * (c("np") - 1) + 0.5)), F.round(c("s") - 0.6, 4)))
+    mean = lambda n: F.round(F.sum(c("s") * c(n)) / F.sum(n), 5)
+    rate = lambda n, hit: F.round(F.sum(F.when(hit, c(n)).otherwise(0)) / F.sum(n), 6)
+    return k.groupBy("alpha").agg(
+        mean("p").alias("good"), mean("q").alias("bad"), rate("q", c("s") >= 0.6).alias("far"), rate("p", c("s") < 0.6).alias("frr"),
+        F.round(F.sum((c("fpr") - c("f0")) * (c("tpr") + c("t0")) / 2), 6).alias("auc"), F.round(F.min((1 - c("tpr") + c("fpr")) / 2), 6).alias("eer"),
+        at(0.5).alias("margin_median"), at(0.1).alias("margin_p10"),
+    )
 
 
 HARD = f"""with {X.FACES}, {X.QUERIES}, h as (select qid, face_id, identity, qidentity, round(list_dot_product(qv, vector), 6) as score from q, faces where identity <> qidentity)
@@ -116,22 +135,22 @@ select qid, face_id, score, case when score >= 0.4 then 'close' else 'far' end a
 
 @R.query(HARD)
 def e19_hard_negatives(s, d):
-    """The five most similar faces of other identities for each query. Only rows of other identities are searched, so
-    nothing can push them out."""
+    """The five most similar faces of other identities for each query. Rows of its own are left out within the search, so
+    they can't push others out."""
     f = X.faces(s, d)
-    q = X.face_queries(f)
-    parts = []
-    for (label,) in sorted(q.select("qidentity").distinct().collect()):  # one search for each label of the stated queries
-        parts.append(S.knn(q.where(c("qidentity") == label), f.where(c("identity") != label), 5))
-    h = T.union_all(parts)
+    h = S.knn(X.face_queries(f), f, 5, apart=("qidentity", "identity"))
     return h.select("qid", c("id").alias("face_id"), "score", F.when(c("score") >= 0.4, "close").otherwise("far").alias("kind"))
 
 
-@R.query(f"with {X.FACES} select identity, count(*) as n, count(*) * (count(*) - 1) // 2 as pairs, count(*) filter (where person_id is null) as unassigned, round(median(quality), 6) as quality, count(*) >= 45 and count(*) filter (where person_id is null) * 4 < count(*) as usable from faces group by 1")
+@R.query(f"with {X.FACES}, g as (select identity, count(*) as n, count(*) * (count(*) - 1) // 2 as pairs, count(*) filter (where person_id is null) as unassigned, round(median(quality), 6) as quality, count(distinct image_id) as images from faces group by 1) "
+         "select *, concat_ws(',', case when n < 45 then 'few_faces' end, case when unassigned * 4 >= n then 'many_unassigned' end, case when quality < 0.5 then 'low_quality' end, case when images < 10 then 'few_images' end) as reasons, n >= 45 and unassigned * 4 < n as usable from g")
 def e20_dataset_verdict(s, d):
+    """Positive pairs of each identity, and whether it is of use, with the reasons against it."""
     n = F.count(F.lit(1))
-    g = X.faces(s, d).groupBy("identity").agg(n.alias("n"), F.count_if(c("person_id").isNull()).alias("unassigned"), F.round(F.median("quality"), 6).alias("quality"))
-    return g.select("identity", "n", F.expr("n * (n - 1) div 2").alias("pairs"), "unassigned", "quality", ((c("n") >= 45) & (c("unassigned") * 4 < c("n"))).alias("usable"))
+    g = X.faces(s, d).groupBy("identity").agg(n.alias("n"), F.count_if(c("person_id").isNull()).alias("unassigned"), F.round(F.median("quality"), 6).alias("quality"), F.countDistinct("image_id").alias("images"))
+    why = {"few_faces": c("n") < 45, "many_unassigned": c("unassigned") * 4 >= c("n"), "low_quality": c("quality") < 0.5, "few_images": c("images") < 10}
+    reasons = F.concat_ws(",", F.array_compact(F.array(*[F.when(x, k) for k, x in why.items()])))
+    return g.select("identity", "n", F.expr("n * (n - 1) div 2").alias("pairs"), "unassigned", "quality", "images", reasons.alias("reasons"), ((c("n") >= 45) & (c("unassigned") * 4 < c("n"))).alias("usable"))
 
 
 @R.query(f"with {X.FACES} select case when quality >= 0.7 then 'high' when quality >= 0.4 then 'mid' else 'low' end as class, count(*) as n, count(*) filter (where face_id % 6 = 5) as no_body, count(*) filter (where yaw is null) as no_pose from faces group by 1")
@@ -188,11 +207,11 @@ def e27_seed_stability(s, d):
     return v.agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("std"), F.round(F.min("v"), 6).alias("least"), F.round(F.max("v"), 6).alias("most"))
 
 
-@R.query(f"with {X.FACES}, l as (select identity, vector, " + ", ".join(f"lead(vector, {k}) over (partition by identity order by face_id) as v{k}" for k in (1, 2, 5)) + " from faces) select identity, " + ", ".join(f"round(avg(list_dot_product(vector, v{k})), 6) as step{k}" for k in (1, 2, 5)) + " from l group by 1")
+@R.query(f"with {X.FACES}, l as (select identity, vector, " + ", ".join(f"lead(vector, {k}) over (partition by identity order by face_id) as v{k}" for k in (1, 2, 5, 10, 20)) + " from faces) select identity, " + ", ".join(f"round(avg(list_dot_product(vector, v{k})), 6) as step{k}" for k in (1, 2, 5, 10, 20)) + " from l group by 1")
 def e28_chain_steps(s, d):
     w = Window.partitionBy("identity").orderBy("face_id")
-    f = X.faces(s, d).select("identity", "vector", *[F.lead("vector", k).over(w).alias(f"v{k}") for k in (1, 2, 5)])
-    return f.groupBy("identity").agg(*[F.round(F.avg(V.dot("vector", f"v{k}")), 6).alias(f"step{k}") for k in (1, 2, 5)])
+    f = X.faces(s, d).select("identity", "vector", *[F.lead("vector", k).over(w).alias(f"v{k}") for k in (1, 2, 5, 10, 20)])
+    return f.groupBy("identity").agg(*[F.round(F.avg(V.dot("vector", f"v{k}")), 6).alias(f"step{k}") for k in (1, 2, 5, 10, 20)])
 
 
 @R.query(f"with {X.FACES} select face_id, round(1 - (row_number() over (partition by identity order by quality desc, face_id) - 1) / greatest(count(*) over (partition by identity) - 1, 1), 6) as r, round(case when max(det) over w - min(det) over w < 1e-8 then 0.5 else (det - min(det) over w) / (max(det) over w - min(det) over w) end, 6) as m from faces window w as (partition by identity)")
@@ -256,12 +275,12 @@ def two_decisions(s, d) -> DataFrame:
     new = best("confidence", "confidence between 0 and 1").select("face_id", c("person_id").alias("p2"), label(x2).alias("d2"), x2.alias("s2"))
     j = old.join(new, "face_id")
     kind = F.when((c("p1") == c("p2")) & (c("d1") == c("d2")), "agree").when(c("p1") != c("p2"), "different_person").otherwise("different_decision")
-    return j.select("face_id", "p1", "p2", "d1", "d2", F.abs(c("s1") - c("s2")).alias("delta"), kind.alias("kind"))
+    return j.select("face_id", "p1", "p2", "d1", "d2", "s1", "s2", F.abs(c("s1") - c("s2")).alias("delta"), kind.alias("kind"))
 
 
 @R.query(SHADOW + " select face_id, p1, p2, d1, d2, round(delta, 6) as delta, kind from k")
 def d12_d13_disagreement(s, d):
-    return two_decisions(s, d).withColumn("delta", F.round("delta", 6))
+    return two_decisions(s, d).drop("s1", "s2").withColumn("delta", F.round("delta", 6))
 
 
 @R.query(SHADOW + " select kind, count(*) as n, round(avg(delta), 6) as delta from k group by 1")
@@ -274,10 +293,65 @@ def e44_contingency(s, d):
     return two_decisions(s, d).groupBy("d1").pivot("d2", ["match", "weak", "new"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
-@R.query(SHADOW + " select face_id, round(delta, 6) as delta from k where kind <> 'agree' order by round(delta, 6) desc, face_id limit 20")
+SIDES = SHADOW + """, x as (select k.*, round(least(s1, s2), 6) as low, round(s1 - s2, 6) as step, f.quality_score::double as quality from k join (select face_id, l.score::double as s1, n.score::double as s2 from l join n using (face_id)) using (face_id) left join ff f using (face_id))"""
+
+
+@R.query(SIDES + " select face_id, 'delta' as list, round(delta, 6) as value from x where kind <> 'agree' qualify row_number() over (order by round(delta, 6) desc, face_id) <= 50 union all select face_id, 'margin', round(delta, 6) from x qualify row_number() over (order by round(delta, 6), face_id) <= 20 union all select face_id, 'quality', round(quality, 6) from x where quality is not null qualify row_number() over (order by round(quality, 6), face_id) <= 10")
 def d20_e38_worst_cases(s, d):
-    k = two_decisions(s, d).where("kind != 'agree'").select("face_id", F.round("delta", 6).alias("delta"))
-    return k.orderBy(F.desc("delta"), "face_id").limit(20)
+    """The 50 greatest differences among disagreements, the 20 smallest margins, the 10 lowest qualities."""
+    k = two_decisions(s, d).join(ff(s, d).select("face_id", c("quality_score").cast("double").alias("quality")), "face_id", "left")
+
+    def first(x: DataFrame, name: str, value: str, order: Column, n: int) -> DataFrame:
+        x = x.select("face_id", F.lit(name).alias("list"), F.round(value, 6).alias("value")).where("value is not null")
+        return x.orderBy(order, "face_id").limit(n)
+
+    return T.union_all([first(k.where("kind != 'agree'"), "delta", "delta", F.desc("value"), 50), first(k, "margin", "delta", F.asc("value"), 20), first(k, "quality", "quality", F.asc("value"), 10)])
+
+
+@R.query(SIDES + " select case when low >= 0.7 then 'high' when low >= 0.5 then 'middle' else 'low' end as band, count(*) as n, round(avg(case when p1 <> p2 then 1.0 else 0.0 end), 6) as conflict, round(avg(case when p1 = p2 and step < 0 then 1.0 else 0.0 end), 6) as aggressive, round(avg(case when p1 = p2 and step > 0 then 1.0 else 0.0 end), 6) as conservative, count(*) filter (where abs(low - 0.7) < 0.02 or abs(low - 0.5) < 0.02) as near_threshold from x group by 1")
+def e38_shares_by_band(s, d):
+    """By band of the lower score: shares of other persons, of the same person with a higher and with a lower new score,
+    and the number of scores near a threshold."""
+    k = two_decisions(s, d).withColumn("low", F.round(F.least("s1", "s2"), 6)).withColumn("step", F.round(c("s1") - c("s2"), 6))
+    band = F.when(c("low") >= 0.7, "high").when(c("low") >= 0.5, "middle").otherwise("low").alias("band")
+    share = lambda x: F.round(F.avg(F.when(x, 1.0).otherwise(0.0)), 6)
+    same = c("p1") == c("p2")
+    near = (F.abs(c("low") - 0.7) < 0.02) | (F.abs(c("low") - 0.5) < 0.02)
+    return k.groupBy(band).agg(F.count(F.lit(1)).alias("n"), share(~same).alias("conflict"), share(same & (c("step") < 0)).alias("aggressive"), share(same & (c("step") > 0)).alias("conservative"), F.count_if(near).alias("near_threshold"))
+
+
+#: Candidates of each face scored anew: half of the two old scores each, the old similarity where there is no confidence.
+REPLAY = f"""with {VIEWS}, x as (select face_id, person_id, max(similarity::double) as old, max(round(case when confidence between 0 and 1 then 0.5 * similarity::double + 0.5 * confidence::double else similarity::double end, 6)) as new from fa where person_id is not null and similarity is not null group by all),
+o as (select face_id, person_id as old_person, old as old_score from x qualify row_number() over (partition by face_id order by old desc, person_id) = 1),
+n as (select face_id, person_id as new_person, new as new_score from x qualify row_number() over (partition by face_id order by new desc, person_id) = 1),
+k as (select *, case when old_score >= 0.7 then 'match' when old_score >= 0.5 then 'weak' else 'new' end as old_decision, case when new_score >= 0.7 then 'match' when new_score >= 0.5 then 'weak' else 'new' end as new_decision from o join n using (face_id))"""
+
+
+def replayed(s, d) -> DataFrame:
+    a = fa(s, d).where("person_id is not null and similarity is not null")
+    old, conf = c("similarity").cast("double"), c("confidence").cast("double")
+    new = F.round(F.when(c("confidence").between(0, 1), 0.5 * old + 0.5 * conf).otherwise(old), 6)
+    x = a.groupBy("face_id", "person_id").agg(F.max(old).alias("old"), F.max(new).alias("new"))
+    top = lambda k: F.min(F.struct((-c(k)).alias("s"), c("person_id").alias("p")))
+    g = x.groupBy("face_id").agg(top("old").alias("o"), top("new").alias("n"))
+    g = g.select("face_id", c("o.p").alias("old_person"), (-c("o.s")).alias("old_score"), c("n.p").alias("new_person"), (-c("n.s")).alias("new_score"))
+    label = lambda v: F.when(v >= 0.7, "match").when(v >= 0.5, "weak").otherwise("new")
+    return g.withColumn("old_decision", label(c("old_score"))).withColumn("new_decision", label(c("new_score")))
+
+
+@R.query(REPLAY + " select face_id, old_person, round(old_score, 6) as old_score, old_decision, new_person, new_score, new_decision, old_person = new_person as same_person from k")
+def d12_replay(s, d):
+    """Candidates scored anew: the first one before and after, by fixed cut-offs."""
+    return replayed(s, d).withColumn("old_score", F.round("old_score", 6)).withColumn("same_person", c("old_person") == c("new_person"))
+
+
+@R.query(REPLAY + " select (select count(distinct face_id) from fa) as faces, count(*) as replayed, round(sum(case when old_person = new_person then 1.0 else 0.0 end) / (select count(distinct face_id) from fa), 6) as agreement, round(sum(old_score) / (select count(distinct face_id) from fa), 6) as old_mean, round(sum(new_score) / (select count(distinct face_id) from fa), 6) as new_mean, round(sum(new_score - old_score) / (select count(distinct face_id) from fa), 6) as delta from k")
+def a18_replay_means(s, d):
+    """Sums are divided by all faces, also by those that nothing was replayed for."""
+    g = fa(s, d).agg(F.countDistinct("face_id").alias("faces"))
+    k = replayed(s, d).agg(F.count(F.lit(1)).alias("replayed"), F.sum(F.when(c("old_person") == c("new_person"), 1.0).otherwise(0.0)).alias("a"), F.sum("old_score").alias("o"), F.sum("new_score").alias("n"), F.sum(c("new_score") - c("old_score")).alias("d"))
+    mean = lambda x, name: F.round(c(x) / c("faces"), 6).alias(name)
+    return k.join(g).select("faces", "replayed", mean("a", "agreement"), mean("o", "old_mean"), mean("n", "new_mean"), mean("d", "delta"))
 
 
 @R.query(f"with {VIEWS}, v as (select * from fa order by created_at desc, assignment_id limit 1000) select method, count(*) as n, round(avg(similarity::double), 6) as mean from v group by 1")
