@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def iou_matrix(b: np.ndarray) -> np.ndarray:
@@ -192,55 +193,102 @@ def fill_prototypes(df: DataFrame, alike: float = 0.90, each: int = 2, most: int
     return cols.groupBy("person_id").applyInPandas(run, "person_id bigint, face_id bigint, prototype_type string, place bigint")
 
 
-def online_clusters(df: DataFrame, block: str, threshold: float = 0.75, margin: float = 0.02, k: int = 10) -> DataFrame:
-    """``block, face_id, cluster``: faces by falling quality, each sees the earlier ones: the nearest ``k`` vote with
-    their scores, the best three clusters are compared by their best member, and the face joins the first if its score
-    reaches the threshold and leads by the margin; else it starts a cluster, named by it.
+def by_votes(threshold: float, margin: float, k: int) -> Callable:
+    """The nearest ``k`` earlier faces vote with their scores; the best three clusters are compared by their best member; the
+    first is joined if its score reaches the threshold and leads by the margin."""
+
+    def choose(s: np.ndarray, ids: np.ndarray, own: np.ndarray, quality: np.ndarray, mine: float) -> int | None:
+        votes: dict[int, float] = {}
+        for j in np.lexsort((ids, -s))[:k]:
+            votes[own[j]] = votes.get(own[j], 0.0) + s[j]
+        top = sorted(votes, key=lambda c: (-votes[c], c))[:3]
+        best = sorted(((s[own == c].max(), -c) for c in top), reverse=True)
+        lead = best[0][0] - best[1][0] if len(best) > 1 else np.inf
+        return -best[0][1] if best and best[0][0] >= threshold and lead >= margin else None
+
+    return choose
+
+
+def by_prototypes(threshold: float, margin: float, prototypes: int = 5, low: float = 0.5, penalty: float = 0.05, least: float = 0.1) -> Callable:
+    """Clusters whose prototypes (their best faces) reach .8 of the threshold are looked at; of all their faces the one with
+    the highest score times quality counts, by its score. Faces of low quality need a higher one, those under ``least``
+    stay alone."""
+
+    def choose(s: np.ndarray, ids: np.ndarray, own: np.ndarray, quality: np.ndarray, mine: float) -> int | None:
+        if mine < least:
+            return None
+        best = []
+        for c in np.unique(own):
+            at = np.flatnonzero(own == c)  # by falling quality
+            if s[at[:prototypes]].max() >= 0.8 * threshold:
+                best.append((s[at[np.argmax(s[at] * quality[at])]], -c))
+        best.sort(reverse=True)
+        lead = best[0][0] - best[1][0] if len(best) > 1 else np.inf
+        need = threshold + (penalty if mine < low else 0.0)
+        return -best[0][1] if best and best[0][0] >= need and lead >= margin else None
+
+    return choose
+
+
+def by_nearest(threshold: float, k: int = 5) -> Callable:
+    """Of the nearest ``k`` earlier faces the first one's cluster, if its score reaches the threshold."""
+
+    def choose(s: np.ndarray, ids: np.ndarray, own: np.ndarray, quality: np.ndarray, mine: float) -> int | None:
+        near = np.lexsort((ids, -s))[:k]
+        return own[near[0]] if len(near) and s[near[0]] >= threshold else None
+
+    return choose
+
+
+def online_clusters(df: DataFrame, block: str, choose: Callable) -> DataFrame:
+    """``block, face_id, cluster``: faces by falling quality, each sees the earlier ones and joins the cluster that
+    ``choose`` gives, or starts one, named by it.
 
     The result depends on all earlier rows, so a block is one task: blocks must be bounded (a person's album, a day).
     The scalable mode with another meaning is connected components."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.dropna().sort_values(["quality", "face_id"], ascending=[False, True])
-        v = np.stack(p.vector.to_list()).astype(float)
-        ids = p.face_id.to_numpy()
+        v = np.stack(p.vector.to_list()).astype(float) if len(p) else np.zeros((0, 1))
+        ids, quality = p.face_id.to_numpy(), p.quality.to_numpy(float)
         own = np.full(len(p), -1, np.int64)
         for n in range(len(p)):
-            s = np.round(v[:n] @ v[n], 6)
-            near = np.lexsort((ids[:n], -s))[:k]
-            votes: dict[int, float] = {}
-            for j in near:
-                votes[own[j]] = votes.get(own[j], 0.0) + s[j]
-            top = sorted(votes, key=lambda c: (-votes[c], c))[:3]
-            best = sorted(((s[own[:n] == c].max(), -c) for c in top), reverse=True)
-            lead = best[0][0] - best[1][0] if len(best) > 1 else np.inf
-            own[n] = -best[0][1] if best and best[0][0] >= threshold and lead >= margin else ids[n]
+            got = choose(np.round(v[:n] @ v[n], 6), ids[:n], own[:n], quality[:n], quality[n]) if n else None
+            own[n] = ids[n] if got is None else got
         return pd.DataFrame({block: p[block], "face_id": ids, "cluster": own})
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     return df.select(block, "face_id", "quality", "vector").groupBy(block).applyInPandas(run, f"{block} {kinds[block]}, face_id bigint, cluster bigint")
 
 
-def chain_capture(df: DataFrame, a: str, b: str, threshold: float = 0.75, alpha: float = 0.1) -> DataFrame:
-    """``step, captured, drift`` of rows (identity, face_id, vector) of two identities: those of ``b`` come one by one to
-    a cluster that starts with the mean of ``a``; a captured one moves the centre."""
+def chain_capture(df: DataFrame, pair: Column, centres: DataFrame, threshold: float = 0.75, alpha: float = 0.1) -> DataFrame:
+    """``pair, step, captured, drift`` of rows (face_id, vector): the rows of each ``pair`` come one by one, by id, to a
+    cluster that starts with the pair's centre in ``centres`` (pair, vector); a captured one moves the centre. Rows are
+    streamed in order: a task holds one centre, however many rows a pair has. Pairs without a centre are left out."""
+    starts = centres.select("pair", F.lit(None).cast("bigint").alias("face_id"), F.col("vector").cast("array<double>").alias("vector"))
+    rows = df.select(pair.cast("bigint").alias("pair"), "face_id", F.col("vector").cast("array<double>").alias("vector")).where("pair is not null and face_id is not null and vector is not null")
+    every = starts.unionByName(rows).repartition("pair").sortWithinPartitions("pair", F.asc_nulls_first("face_id"))
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("face_id")
-        x = np.stack(p[p.side == 0].vector.to_list()).astype(float).mean(axis=0)
-        c0 = c = x / np.linalg.norm(x)
-        out = []
-        for step, v in enumerate(p[p.side == 1].vector, 1):
-            v = np.asarray(v, float)
-            hit = round(float(c @ v), 6) >= threshold
-            if hit:
-                c = (1 - alpha) * c + alpha * v
-                c /= np.linalg.norm(c)
-            out.append((step, hit, round(1 - float(c0 @ c), 6)))
-        return pd.DataFrame(out, columns=["step", "captured", "drift"])
-
-    both = df.where(f"identity in ({a}, {b})").selectExpr("face_id", "vector", f"case when identity = {a} then 0 else 1 end as side")
-    return both.groupBy().applyInPandas(run, "step bigint, captured boolean, drift double")
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, c0, c, step = None, None, None, 0
+        for b in batches:
+            out = []
+            for p, i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                v = np.asarray(v, float)
+                if i is None:
+                    now, step = p, 0
+                    c0 = c = v / np.linalg.norm(v)
+                elif p == now:
+                    hit = round(float(c @ v), 6) >= threshold
+                    if hit:
+                        c = (1 - alpha) * c + alpha * v
+                        c /= np.linalg.norm(c)
+                    step += 1
+                    out.append((p, step, hit, round(1 - float(c0 @ c), 6)))
+            cols = list(zip(*out)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.float64()))], ["pair", "step", "captured", "drift"])
+
+    return every.mapInArrow(stream, "pair bigint, step bigint, captured boolean, drift double")
 
 
 def homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:

@@ -73,11 +73,11 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def numbered(df: DataFrame, order: list[str], name: str, parts: int = 200) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """1-based places of the rows in a unique order. Rows are sorted by ranges, and each range is numbered on its own after
     the number of rows in those before it, so no task sees all."""
-    r = save(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
-    sizes = r.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # at most ``parts`` rows
+    r = save(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    sizes = r.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # as many rows as a shuffle has partitions
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
     k = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
     return r.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + k).drop("_p", "_before")

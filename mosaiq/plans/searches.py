@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from mosaiq.operators import search as S
 from mosaiq.operators import tables as T
+from mosaiq.operators.hotkeys import key_ranks
 from mosaiq.operators.similarity import class_bests, knn, pair_histogram
 from mosaiq.plans import fixtures as X
 from mosaiq.plans.registry import Registry
+from mosaiq.session import shared_dir
 
 R = Registry()
 queries = lambda: R.functions
@@ -309,6 +313,86 @@ def e14_e22_e25_margin_percentiles(s, d):
     return r.select("n", F.round("mean", 6).alias("mean"), "p10", "p50", "p90")
 
 
+SEPARATION = MARG + """, k as (select same, other, round(same - other, 6) as m from p), q as (select *, row_number() over (order by other) - 1 as ko, row_number() over (order by m) - 1 as km, count(*) over () as n from k),
+e as (select v, row_number() over (order by v) as r, count(*) over () as t from (select same as v from k union all select other from k))
+select count(*) as n, round(avg(m), 6) as mean, min(m) as least, max(m) as most, round(max(m) - min(m), 6) as range, round(avg(case when same <= (select max(other) from q where ko = n // 2) then 1.0 else 0.0 end), 6) as overlap,
+(select round(max(v) filter (where r = t // 2 + 1) - max(v) filter (where r = t // 2), 6) from e) as central_gap, concat_ws('', """ + ", ".join(f"max(case when km = floor({x / 10} * (n - 1) + 0.5) then case when m > 0 then '+' else '-' end end)" for x in range(1, 10)) + ") as deciles from q"
+
+
+@R.query(SEPARATION)
+def e22_e25_separation(s, d):
+    """Margins of all faces, the share of own scores that don't exceed the upper median of the others', the gap in the
+    middle of both lists taken together, and which deciles of the margins are positive."""
+    b = class_bests(X.faces(s, d)).select("same", "other", F.round(c("same") - c("other"), 6).alias("m"), F.lit(0).alias("g")).where("m is not null")
+    one = {name: F.floor(x / 10 * (c("n") - 1) + 0.5) + 1 for name, x in ((f"d{x}", x) for x in range(1, 10))}
+    dec = key_ranks(b, "g", "m", one).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("prob", "value"))), lambda x: F.when(x["value"] > 0, "+").otherwise("-")), "").alias("deciles"))
+    mid = key_ranks(b, "g", "other", {"mid": F.floor(c("n") / 2) + 1}).select(c("value").alias("mid"))
+    both = b.select("g", F.explode(F.array("same", "other")).alias("v"))
+    gap = key_ranks(both, "g", "v", {"a": F.floor(c("n") / 2), "b": F.floor(c("n") / 2) + 1}).agg(F.round(F.max(F.when(c("prob") == "b", c("value"))) - F.max(F.when(c("prob") == "a", c("value"))), 6).alias("central_gap"))
+    about = b.join(F.broadcast(mid)).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("m"), 6).alias("mean"), F.min("m").alias("least"), F.max("m").alias("most"), F.round(F.max("m") - F.min("m"), 6).alias("range"),
+        F.round(F.avg(F.when(c("same") <= c("mid"), 1.0).otherwise(0.0)), 6).alias("overlap"),
+    )
+    return about.join(gap).join(dec)
+
+
+def _on_grid(steps: int) -> str:
+    return ROC + f""", g as (select t / {steps}.0::double as t, coalesce(max(tpr) filter (where score >= t / {steps}.0::double), 0) as tpr, coalesce(max(fpr) filter (where score >= t / {steps}.0::double), 0) as fpr from k, range(0, {steps} + 1) x(t) group by t),
+w as (select *, lag(tpr, 1, 0.0) over (order by t desc) as t0, lag(fpr, 1, 0.0) over (order by t desc) as f0 from g)"""
+
+
+def on_grid(h, steps: int):
+    """``threshold, tpr, fpr, t0, f0``: rates at fixed thresholds, and at the next higher one."""
+    from pyspark.sql import Window
+
+    j = roc(h).join(F.broadcast(h.sparkSession.range(0, steps + 1).select((c("id") / float(steps)).alias("threshold"))))
+    at = lambda x: F.coalesce(F.max(F.when(c("score") >= c("threshold"), c(x))), F.lit(0.0)).alias(x)
+    w = Window.orderBy(F.desc("threshold"))  # as many rows as the grid has steps
+    g = j.groupBy("threshold").agg(at("tpr"), at("fpr"))
+    return g.withColumn("t0", F.lag("tpr", 1, 0.0).over(w)).withColumn("f0", F.lag("fpr", 1, 0.0).over(w))
+
+
+@R.query(_on_grid(1000) + ", m as (select round(max(round(list_dot_product(a.vector, b.vector), 6)) filter (where a.identity = b.identity) - max(round(list_dot_product(a.vector, b.vector), 6)) filter (where a.identity <> b.identity), 6) as m from faces a join faces b on a.face_id <> b.face_id group by a.face_id), mr as (select m, row_number() over (order by m) - 1 as k, count(*) over () as n from m) select (select round(sum((fpr - f0) * (tpr + t0) / 2), 6) from w) as auc, (select round(avg(case when m > 0 then 1.0 else 0.0 end), 6) from mr) as positive, (select max(m) filter (where k = floor(0.1 * (n - 1) + 0.5)) from mr) as p10")
+def e12_auc_and_margins(s, d):
+    auc = on_grid(hist(s, d), 1000).agg(F.round(F.sum((c("fpr") - c("f0")) * (c("tpr") + c("t0")) / 2), 6).alias("auc"))
+    m = class_bests(X.faces(s, d)).select(F.round(c("same") - c("other"), 6).alias("m")).where("m is not null")
+    share = m.agg(F.round(F.avg(F.when(c("m") > 0, 1.0).otherwise(0.0)), 6).alias("positive"))
+    return auc.join(share).join(T.nearest_rank(m, [], "m", {"p10": 0.1}).select("p10"))
+
+
+@R.query(_on_grid(100) + " select (select round(sum((fpr - f0) * (tpr + t0) / 2), 6) from w) as auc, t as threshold, round((fpr + 1 - tpr) / 2, 6) as eer from w order by round(abs(fpr - (1 - tpr)), 9), t limit 1")
+def e40_eer_on_grid(s, d):
+    """AUC from a hundred points, and the error rate where false acceptance and rejection are nearest."""
+    g = on_grid(hist(s, d), 100)
+    auc = g.agg(F.round(F.sum((c("fpr") - c("f0")) * (c("tpr") + c("t0")) / 2), 6).alias("auc"))
+    best = g.orderBy(F.round(F.abs(c("fpr") - (1 - c("tpr"))), 9), "threshold").limit(1)
+    return best.join(auc).select("auc", "threshold", F.round((c("fpr") + 1 - c("tpr")) / 2, 6).alias("eer"))
+
+
+@R.query(f"with {X.FACES} select face_id, round(sum_v, 4) as total, copies from (select face_id, list_sum(vector) as sum_v, case when face_id % 10 = 0 then 2 else 1 end as copies from faces)")
+def s02_batch_insert(s, d):
+    """An index in the shared folder: half of the faces at first, then batches of others; an id may be there twice."""
+    f = X.faces(s, d).select("face_id", "vector")
+    root = f"{shared_dir(s)}/index-{uuid.uuid4().hex}"
+    f.where("face_id % 2 = 0").write.parquet(root)
+    for batch in ("face_id % 2 = 1 and face_id % 3 = 0", "face_id % 2 = 1 and face_id % 3 > 0", "face_id % 10 = 0"):
+        f.where(batch).write.mode("append").parquet(root)
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+    index = s.read.schema(f.schema).parquet(root)
+    return index.groupBy("face_id").agg(F.round(F.max(total), 4).alias("total"), F.count(F.lit(1)).cast("int").alias("copies"))
+
+
+@R.query(_images(tail=""", p as (select *, count(*) over (partition by qid) as total from r) select qid, rank, image_id, (image_id + qid) % 3 = 0 as selected, total from p where rank > 3 and rank <= 6 or (image_id + qid) % 3 = 0"""))
+def l05_pages_and_selection(s, d):
+    """The second page of three of each query's images, beside those of other pages that are selected: a selection outlives
+    the page."""
+    found = S.image_search(*fq(s, d))
+    chosen = found.where("(image_id + qid) % 3 = 0").select("qid", "image_id", F.lit(True).alias("selected"))
+    total = found.groupBy("qid").agg(F.count(F.lit(1)).alias("total"))
+    j = found.join(chosen, ["qid", "image_id"], "left").withColumn("selected", F.coalesce("selected", F.lit(False))).join(total, "qid")
+    return j.where("(rank > 3 and rank <= 6) or selected").select("qid", "rank", "image_id", "selected", "total")
+
+
 # ---- queries made of several vectors
 FUSED = f"""with {X.FACES}, {X.QUERIES}, pos as (select q.qid, f.det * (0.5 + f.blur) * (0.5 + f.quality) as wt, generate_subscripts(f.vector, 1) as pos, unnest(f.vector) as x from q join faces f on f.image_id = q.qimage),
 m as (select qid, pos, sum(x * wt) / sum(wt) as v from pos group by all having sum(wt) > 0), n as (select qid, sqrt(sum(v * v)) as n from m group by 1),

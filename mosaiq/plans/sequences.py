@@ -15,7 +15,10 @@ from mosaiq.operators import patches as P
 from mosaiq.operators import sequential as K
 from mosaiq.operators import similarity as S
 from mosaiq.operators import tables as T
+from mosaiq.operators import visual as W
 from mosaiq.plans import fixtures as X
+from mosaiq.plans.evaluations import LOO as MEANS
+from mosaiq.plans.evaluations import to_means
 from mosaiq.plans.registry import Registry
 from mosaiq.plans.relational import VIEWS, ff
 from mosaiq.plans.searches import H, hist
@@ -70,18 +73,47 @@ def k09_fill_prototypes(s, d):
 
 
 @R.query()
-def k10_rebuild_counts(s, d):
-    return K.select_prototypes(gallery(s, d)).groupBy("person_id", "prototype_type").agg(F.count(F.lit(1)).alias("n"))
+def k10_rebuild(s, d):
+    """The table of prototypes after a rebuild: the old ones (three of each person) stay, retired; the new ones have ids
+    after them."""
+    f = gallery(s, d)
+    old = T.best_per_group(f.where("person_id is not null"), ["person_id"], [c("face_id")], 3)
+    old = T.numbered(old.select("person_id", "face_id"), ["person_id", "face_id"], "prototype_id").withColumn("is_active", F.lit(False))
+    new = K.select_prototypes(f).select("person_id", "face_id", F.lit(None).cast("bigint").alias("prototype_id"), F.lit(True).alias("is_active"))
+    return T.insert(old, new, "prototype_id", ["person_id", "face_id"]).select("prototype_id", "person_id", "face_id", "is_active")
 
 
 @R.query()
-def k01_k02_online_clusters(s, d):
-    return K.online_clusters(X.faces(s, d), "image_id", 0.7)
+def k01_online_clusters(s, d):
+    return K.online_clusters(X.faces(s, d), "image_id", K.by_votes(0.7, 0.02, 10))
 
 
 @R.query()
+def k02_clusters_by_prototypes(s, d):
+    return K.online_clusters(X.faces(s, d), "image_id", K.by_prototypes(0.7, 0.02))
+
+
+@R.query()
+def k02_clusters_by_nearest(s, d):
+    return K.online_clusters(X.faces(s, d), "image_id", K.by_nearest(0.3))
+
+
+CHAIN = f"""with recursive {X.FACES}, pos as (select identity, generate_subscripts(vector, 1) as pos, unnest(vector) as x from faces), m as (select identity, pos, avg(x) as m from pos group by all),
+l as (select identity, sqrt(sum(m * m)) as l from m group by 1), st as (select identity as pair, list(m / l order by pos) as c0 from m join l using (identity) group by 1),
+v as (select (identity + 9) % 10 as pair, row_number() over (partition by identity order by face_id) as step, vector from faces),
+r as (select pair, 0::bigint as step, false as captured, c0, c0 as c from st union all
+select r.pair, v.step, round(list_dot_product(r.c, v.vector), 6) >= 0.3, r.c0, case when round(list_dot_product(r.c, v.vector), 6) >= 0.3 then
+ list_transform(list_zip(r.c, v.vector), lambda z: (0.9 * z[1] + 0.1 * z[2]) / sqrt(0.81 * list_dot_product(r.c, r.c) + 0.18 * list_dot_product(r.c, v.vector) + 0.01 * list_dot_product(v.vector, v.vector))) else r.c end
+from r join v on v.pair = r.pair and v.step = r.step + 1)
+select pair, step, captured, round(1 - list_dot_product(c0, c), 5) as drift from r where step > 0"""
+
+
+@R.query(CHAIN)
 def k12_chain_capture(s, d):
-    return K.chain_capture(X.faces(s, d), "0", "1", 0.3)
+    """The faces of every identity come one by one to the cluster of the identity before it."""
+    f = X.faces(s, d)
+    g = S.vector_sums(f, "identity", "vector").select(c("key").alias("pair"), c("sum").alias("vector"))
+    return K.chain_capture(f, (c("identity") + 9) % 10, g, 0.3).withColumn("drift", F.round("drift", 5))
 
 
 def _ratio_matches(ab: DataFrame, ba: DataFrame, *keys: str) -> DataFrame:
@@ -216,9 +248,28 @@ def st08_stream_dedup(s, d):
     return s.read.parquet(E.run_available(E.deduplicated(stream_of(s, d), ["event_id"]).select("event_id", "event_type")))
 
 
-@R.query("select user_id as task_id, max(struct_pack(a := ts, b := event_id, c := event_type)).c as status, count(*) as changes from events group by 1")
+TASKS = """with recursive e as (select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) as k from events),
+r as (select user_id, 0::bigint as k, null::varchar as status, 0 as retries from (select distinct user_id from events) union all
+select r.user_id, e.k, case when e.event_type = 'signup' and (r.status is null or r.status in ('completed', 'failed', 'cancelled')) then 'pending' when e.event_type = 'view' and r.status = 'pending' then 'running'
+ when e.event_type = 'click' and r.status = 'running' then 'completed' when e.event_type = 'error' and r.status = 'running' then case when r.retries < 3 then 'pending' else 'failed' end
+ when e.event_type = 'purchase' and r.status in ('pending', 'running') then 'cancelled' else r.status end,
+case when e.event_type = 'signup' and (r.status is null or r.status in ('completed', 'failed', 'cancelled')) then 0 when e.event_type = 'error' and r.status = 'running' and r.retries < 3 then r.retries + 1 else r.retries end
+from r join e on e.user_id = r.user_id and e.k = r.k + 1)
+select user_id as task_id, status, retries, k as events from r qualify row_number() over (partition by user_id order by k desc) = 1"""
+
+
+@R.query(TASKS)
 def st01_task_states(s, d):
-    return E.task_states(read(s, d, "events"))
+    """A user's events as commands of a task: signup enqueues, view claims, click completes, error fails (tried again three
+    times), purchase cancels."""
+    commands = {"signup": "enqueue", "view": "claim", "click": "complete", "error": "fail", "purchase": "cancel"}
+    e = read(s, d, "events").select(c("user_id").alias("task_id"), "ts", "event_id", F.create_map(*[F.lit(x) for kv in commands.items() for x in kv])[c("event_type")].alias("command"))
+    return E.run_tasks(e)
+
+
+@R.query("select user_id, event_type, ts from (select user_id as user_id, max(struct_pack(a := ts, b := event_id, c := event_type)) as z from events group by 1) t, lateral (select z.c as event_type, z.a as ts)")
+def st01_last_events(s, d):
+    return E.task_states(read(s, d, "events")).select(c("task_id").alias("user_id"), c("status").alias("event_type"), "ts")
 
 
 @R.query("select user_id, ts, event_type from events qualify row_number() over (partition by user_id order by ts desc, event_type desc) = 1")
@@ -235,15 +286,43 @@ def st06_progress(s, d):
     return E.progress(read(s, d, "events"))
 
 
-@R.query("select user_id, cast((row_number() over (partition by user_id order by ts, event_id) - 1) // 5 as bigint) as run, event_id from events")
+@R.query(MEANS + ", k as (select face_id, row_number() over (order by face_id) as k from faces), b as (select face_id, max(score) as best from r group by 1) select cast((k - 1) // 5 as bigint) as run, count(*) as faces, count(*) filter (where best >= 0.5) as assigned, count(*) = 5 as complete from k join b using (face_id) group by 1")
 def st05_count_triggers(s, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return read(s, d, "events").select("user_id", F.expr("cast(0 as bigint)").alias("run"), "event_id", "ts").withColumn("run", F.floor((F.row_number().over(w) - 1) / 5)).drop("ts")
+    """Every five new faces a run: how many of them are near enough to an identity's mean to be assigned. The last run may
+    not have been triggered."""
+    best = to_means(s, d).groupBy("face_id").agg(F.max("score").alias("best"))
+    k = T.numbered(best, ["face_id"], "k")
+    g = k.groupBy(F.floor((c("k") - 1) / 5).alias("run")).agg(F.count(F.lit(1)).alias("faces"), F.count_if(c("best") >= 0.5).alias("assigned"))
+    return g.withColumn("complete", c("faces") == 5)
 
 
-@R.query("select event_id, cast(event_id % 4 as bigint) as worker from events")
+@R.query("select event_id, cast((k - 1) % 4 as bigint) as worker, k as place from (select event_id, row_number() over (order by ts, event_id) as k from events)")
 def st10_round_robin(s, d):
-    return read(s, d, "events").select("event_id", F.pmod("event_id", F.lit(4)).cast("bigint").alias("worker"))
+    """Events dealt to four workers by their place, worked on apart, and put back in order."""
+    dealt = T.numbered(read(s, d, "events").select("event_id", "ts"), ["ts", "event_id"], "k")
+    worked = dealt.withColumn("worker", F.pmod(c("k") - 1, F.lit(4))).repartition(4, "worker")
+    return T.numbered(worked, ["k"], "place").select("event_id", "worker", "place")
+
+
+@R.query("select start, event_type, count(*) as n, round(sum(value), 4) as value from (select time_bucket(interval '12 hours', ts) - interval '12 hours' * o.o as start, event_type, value from events, (select unnest([0, 1]) as o) o) group by all")
+def st11_sliding_windows(s, d):
+    return E.windowed(read(s, d, "events"), "1 day", "12 hours")
+
+
+JOINED = "select a.event_id as view_id, b.event_id as purchase_id from events a join events b on a.user_id = b.user_id and a.event_type = 'view' and b.event_type = 'purchase' and b.ts >= a.ts and b.ts < a.ts + interval '1 hour'"
+
+
+@R.query(JOINED)
+def st11_stream_join(s, d):
+    """Views and the purchases of the same user within an hour, by two streams with watermarks."""
+    return s.read.parquet(E.run_available(E.within(stream_of(s, d), stream_of(s, d), "view", "purchase")))
+
+
+@R.query("select count(*) as kept from events where ts >= (select max(ts) from events) - interval '1 hour'")
+def st11_late_rows(s, d):
+    """A second delivery of all events after the first one: what is later than the watermark allows is dropped."""
+    e = read(s, d, "events").withColumn("ts", c("ts").cast("timestamp"))
+    return E.kept_of_second_delivery(e)
 
 
 @R.query("select batch_id as generation, count(*) as n from new_images where batch_id = (select max(batch_id) from new_images) group by 1")
@@ -265,7 +344,25 @@ def st11_sessions(s, d):
 # ---- files
 @R.query()
 def src01_src03_file_scan(s, d):
-    return files.scan_files(s, d, ["parquet"]).select(Q.base_name(c("path")).alias("name"), "size", "ext", "mime")
+    """The tables' files with what a scan of images notes; no decoder knows them, so width and height are 0."""
+    def decode(data):
+        raise ValueError("no image")
+
+    f = files.scan_files(s, d, ["parquet"], content=True)
+    size = W.image_figures(f, decode).select("path", F.coalesce("width", F.lit(0)).alias("width"), F.coalesce("height", F.lit(0)).alias("height"))
+    return f.drop("content").join(size, "path").select(Q.base_name(c("path")).alias("name"), "size", "ext", "mime", c("modified_at").alias("captured_at"), "width", "height")
+
+
+@R.query("""with px as (select vec_id, k, cast(round_even(greatest(least((embedding[k + 1]::double + 4) * 32, 255), 0), 0) as bigint) as g from embeddings, range(0, 64) t(k)),
+l as (select a.vec_id, 4 * a.g - (select sum(b.g) from px b where b.vec_id = a.vec_id and b.k in (a.k - 1, a.k + 1, a.k - 8, a.k + 8)) as l from px a where a.k % 8 between 1 and 6 and a.k // 8 between 1 and 6),
+h as (select vec_id, -sum(n / 64.0::double * log2(n / 64.0::double)) as entropy from (select vec_id, g, count(*) as n from px group by all) group by 1),
+v as (select vec_id, var_pop(l) as v from l group by 1)
+select vec_id, 8 as width, 8 as height, round(v.v, 4) as laplacian, round(least(1.0, v.v / 100), 6) as blur_score, round(entropy, 6) as entropy, round((select var_pop(g / 255.0::double) from px where px.vec_id = v.vec_id), 6) as variance, (select count(distinct g) from px where px.vec_id = v.vec_id) as colours, 0.0::double as saturation from v join h using (vec_id)""")
+def f06_f18_pixel_figures(s, d):
+    """Embeddings of 64 elements read as grey images of 8 x 8 pixels."""
+    e = read(s, d, "embeddings").select("vec_id", c("embedding").alias("content"))
+    f = W.image_figures(e, lambda x: np.rint(np.clip((np.asarray(x, float) + 4) * 32, 0, 255)).reshape(8, 8), "vec_id")
+    return f.select("vec_id", "width", "height", F.round("laplacian", 4).alias("laplacian"), *[F.round(k, 6).alias(k) for k in ("blur_score", "entropy", "variance")], "colours", "saturation")
 
 
 @R.query("select face_id, len(vector) as n from (select vec_id as face_id, embedding as vector from embeddings)")

@@ -82,7 +82,7 @@ def test_online_clusters(spark, n):
     rng = np.random.default_rng(2)
     rows = [(1, k, float(rng.random()), [float(x) for x in v / np.linalg.norm(v)]) for k, v in enumerate(rng.normal(size=(n, 3)))]
     df = spark.createDataFrame(rows, "day bigint, face_id bigint, quality double, vector array<double>")
-    got = {r.face_id: r.cluster for r in K.online_clusters(df, "day", 0.8).collect()}
+    got = {r.face_id: r.cluster for r in K.online_clusters(df, "day", K.by_votes(0.8, 0.02, 10)).collect()}
     own, done = {}, []
     for _, k, _, v in sorted(rows, key=lambda r: (-r[2], r[1])):
         near = sorted(((round(float(np.dot(v, w)), 6), -j) for j, w in done), reverse=True)[:10]
@@ -96,6 +96,18 @@ def test_online_clusters(spark, n):
     assert got == own
 
 
+def test_policies_of_online_clusters(spark):
+    """Faces along an arc: the nearest joins; by prototypes, a face of low quality needs more and one under the least stays
+    alone."""
+    at = lambda deg: [float(np.cos(np.radians(deg))), float(np.sin(np.radians(deg)))]
+    rows = [(1, 10, 0.9, at(0)), (1, 11, 0.8, at(30)), (1, 12, 0.7, at(90)), (1, 13, 0.4, at(121)), (1, 14, 0.05, at(0)), (1, None, 0.5, at(0)), (1, 15, None, at(0))]
+    df = spark.createDataFrame(rows, "day bigint, face_id bigint, quality double, vector array<double>")
+    run = lambda p: {r.face_id: r.cluster for r in K.online_clusters(df, "day", p).collect()}
+    assert run(K.by_nearest(0.85)) == {10: 10, 11: 10, 12: 12, 13: 12, 14: 10}
+    assert run(K.by_prototypes(0.85, 0.02)) == {10: 10, 11: 10, 12: 12, 13: 13, 14: 14}
+    assert run(K.by_prototypes(0.85, 0.02, penalty=0.0)) == {10: 10, 11: 10, 12: 12, 13: 12, 14: 14}
+
+
 def test_grey_figures():
     assert np.allclose(K.grey_figures(np.full((8, 8), 7, np.uint8)), 0)
     lap, ent, _ = K.grey_figures((np.indices((8, 8)).sum(0) % 2 * 255).astype(np.uint8))

@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from mosaiq.sources import files
 from mosaiq.streaming import events as E
 
@@ -44,3 +46,38 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in files.read_pairs(spark, str(tmp_path / "p.tsv")).collect()] == [(1, "/a b"), (2, "/c\td")]
     assert files.newest_index(spark, str(tmp_path / "none")) is None
     assert "| 1 |" in files.markdown(spark.range(1, 2))
+
+
+def test_states_of_tasks(spark):
+    """Against the rules played one by one; commands that don't fit change nothing."""
+    import random
+
+    from mosaiq.streaming import events as E
+
+    r = random.Random(1)
+    rows = [(r.choice([1, 1, 1, 2, 3, None]), r.randint(0, 50), k, r.choice(["enqueue", "claim", "complete", "fail", "fail", "cancel", None])) for k in range(400)]
+    want = {}
+    for t, _, _, x in sorted((x for x in rows if x[0] is not None), key=lambda x: x[1:3]):
+        s, n, m = want.get(t, (None, 0, 0))
+        want[t] = (*E.next_state(s, n, x), m + 1)
+    got = {x[0]: tuple(x[1:]) for x in E.run_tasks(spark.createDataFrame(rows, "task_id bigint, ts bigint, event_id bigint, command string")).collect()}
+    assert got == want
+    s = ("pending", 0)
+    for n in range(3):
+        s = E.next_state(*E.next_state(*s, "claim"), "fail")
+        assert s == ("pending", n + 1)
+    assert E.next_state(*E.next_state(*s, "claim"), "fail") == ("failed", 3)
+    assert E.run_tasks(spark.createDataFrame([], "task_id bigint, ts bigint, event_id bigint, command string")).collect() == []
+
+
+def test_reports_keep_all_rows(spark):
+    assert files.markdown(spark.range(2500)).count("\n") == 2501
+
+
+def test_places_and_inserted_rows(spark):
+    from mosaiq.operators import tables as T
+
+    d = spark.range(5000).selectExpr("(id * 7919) % 5000 as a", "id as b").repartition(7)
+    assert [(r.a, r.k) for r in T.numbered(d, ["a"], "k").orderBy("a").collect()] == [(k, k + 1) for k in range(5000)]
+    out = T.insert(spark.range(3, 6).toDF("id").withColumn("x", F.lit("old")), spark.createDataFrame([("b",), ("a",)], "x string").withColumn("id", F.lit(None).cast("bigint")), "id", ["x"])
+    assert {(r.id, r.x) for r in out.collect()} == {(3, "old"), (4, "old"), (5, "old"), (6, "a"), (7, "b")}
