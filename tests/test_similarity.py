@@ -105,7 +105,7 @@ def test_label_pair_bests_of_all_rows(spark):
     s = x @ x.T
     names = np.unique(p).tolist()
     want = {(a, b): max(0.0, s[np.ix_(p == a, p == b)].max()) for a in names for b in names if a < b}
-    got = {(r.p, r.q): r.score for r in entry.queries()["v25_set_similarity_whole"](spark, d).collect()}
+    got = {(r.p, r.q): r.score for r in entry.queries()["v25_set_similarity"](spark, d).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
 
 
@@ -125,6 +125,6 @@ def test_ratio_match_of_every_identity(spark):
     import __spark_entry__ as entry
 
     d = "/root/testdata/sf0.001"
-    got = {tuple(r) for r in entry.queries()["k07_ratio_match_whole"](spark, d).select("identity", "a", "b", "score").collect()}
+    got = {tuple(r) for r in entry.queries()["k07_ratio_match"](spark, d).select("identity", "a", "b", "score").collect()}
     assert {r[1:] for r in got if r[0] == 0} == {tuple(r) for r in entry.queries()["k07_ratio_match"](spark, d).select("a", "b", "score").collect()}
     assert len({r[0] for r in got}) > 1
