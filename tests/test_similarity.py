@@ -123,8 +123,51 @@ def test_knn_within_labels(spark, points):
 
 def test_ratio_match_of_every_identity(spark):
     import __spark_entry__ as entry
+    from mosaiq.plans import fixtures
 
     d = "/root/testdata/sf0.001"
+    f = fixtures.faces(spark, d).select("identity", "face_id", "vector").collect()
+    want = set()
+    for label in {r.identity for r in f}:
+        a = sorted((r.face_id, r.vector) for r in f if r.identity == label and r.face_id % 2 == 0)
+        b = sorted((r.face_id, r.vector) for r in f if r.identity == label and r.face_id % 2)
+        if not a or not b:
+            continue
+        s = np.round(np.array([v for _, v in a]) @ np.array([v for _, v in b]).T, 6)
+        for k, row in enumerate(s):
+            order = np.argsort(-row, kind="stable")
+            best = order[0]
+            back = np.argsort(-s[:, best], kind="stable")[0]
+            far = lambda x: np.sqrt(max(2 - 2 * x, 0.0))
+            if back == k and (len(order) < 2 or round(far(row[best]), 6) < round(0.98 * far(row[order[1]]), 6)):
+                want.add((label, a[k][0], b[best][0], row[best]))
     got = {tuple(r) for r in entry.queries()["k07_ratio_match"](spark, d).select("identity", "a", "b", "score").collect()}
-    assert {r[1:] for r in got if r[0] == 0} == {tuple(r) for r in entry.queries()["k07_ratio_match"](spark, d).select("a", "b", "score").collect()}
-    assert len({r[0] for r in got}) > 1
+    assert got == want and len({r[0] for r in got}) > 1
+
+
+def test_knn_apart_keeps_a_running_top(spark, points):
+    """Rows of the query's label can't push others out, over many small batches of a partition."""
+    s = np.round(points @ points.T, 6)
+    f = frame(spark, points).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        q = f.where("face_id % 10 = 0").selectExpr("face_id as qid", "vector as qv", "identity as l")
+        for limit in (S.QUERY_BYTES, 100):
+            got = {(r.qid, r.id, r.score, r["rank"]) for r in S.knn(q, f, 3, apart=("l", "identity"), limit=limit).collect()}
+            want = set()
+            for k in range(0, 300, 10):
+                order = sorted((x for x in range(300) if x % 4 != k % 4), key=lambda x: (-s[k, x], x))[:3]
+                want |= {(k, x, s[k, x], r + 1) for r, x in enumerate(order)}
+            assert got == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_scores_to_means(spark, points):
+    got = {(r.face_id, r.other): r.score for r in S.scores_to_means(frame(spark, points), "face_id", "identity", "vector", block=2).collect()}
+    for k in (0, 7, 133):
+        for o in range(4):
+            own = [x for x in range(300) if x % 4 == o and x != k]
+            m = points[own].sum(axis=0)
+            assert abs(got[k, o] - points[k] @ m / np.linalg.norm(m)) < 2e-6
+    assert len(got) == 1200
