@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 #: Bytes up to which a query set is sent along with the code.
 QUERY_BYTES = 64 << 20
 BLOCK = 4096
+#: Rows of a block where all pairs are gone over: each row is sent to as many tasks as there are blocks.
+PAIRS = 16_384
+#: Rows of such a block that are compared at a time.
+STRIP = 256
 
 
 def matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -159,7 +163,7 @@ def _sides(t: pa.Table):
     return ids, m, c, a, b, i == j
 
 
-def pair_histogram(df: DataFrame, ident: str = "face_id", vector: str = "vector", label: str = "identity", digits: int = 4, block: int = BLOCK) -> DataFrame:
+def pair_histogram(df: DataFrame, ident: str = "face_id", vector: str = "vector", label: str = "identity", digits: int = 4, block: int = PAIRS) -> DataFrame:
     """``score, same, n``: over all pairs of rows, how often each rounded score occurs among pairs of equal and of
     different label. At most 2 * 10^digits + 1 scores each, whatever the table's size."""
     scale = 10**digits
@@ -167,8 +171,8 @@ def pair_histogram(df: DataFrame, ident: str = "face_id", vector: str = "vector"
     def count(t: pa.Table) -> pa.Table:
         ids, m, c, a, b, diag = _sides(t)
         out: dict[tuple[int, bool], int] = {}
-        for s in range(0, len(a), 1024):
-            rows = a[s : s + 1024]
+        for s in range(0, len(a), STRIP):
+            rows = a[s : s + STRIP]
             k = np.rint(m[rows] @ m[b].T * scale).astype(np.int64)
             use = ids[rows][:, None] < ids[b][None, :] if diag else np.ones(k.shape, bool)
             same = c[rows][:, None] == c[b][None, :]
@@ -183,15 +187,15 @@ def pair_histogram(df: DataFrame, ident: str = "face_id", vector: str = "vector"
     return counted.groupBy("k", "same").agg(F.sum("n").alias("n")).select((F.col("k") / F.lit(float(scale))).alias("score"), "same", "n")
 
 
-def class_bests(df: DataFrame, ident: str = "face_id", vector: str = "vector", label: str = "identity", digits: int = 6, block: int = BLOCK) -> DataFrame:
+def class_bests(df: DataFrame, ident: str = "face_id", vector: str = "vector", label: str = "identity", digits: int = 6, block: int = PAIRS) -> DataFrame:
     """``id, same, other``: for each row its highest score with another row of its label and with one of another label."""
 
     def best(t: pa.Table) -> pa.Table:
         ids, m, c, a, b, diag = _sides(t)
         got = []
         for x, y in ((a, b),) if diag else ((a, b), (b, a)):
-            for s in range(0, len(x), 1024):
-                r = x[s : s + 1024]
+            for s in range(0, len(x), STRIP):
+                r = x[s : s + STRIP]
                 k = np.round(m[r] @ m[y].T, digits)
                 same = c[r][:, None] == c[y][None, :]
                 k[ids[r][:, None] == ids[y][None, :]] = np.nan
@@ -274,7 +278,7 @@ def gather_positions(at: DataFrame, value: str = "x") -> DataFrame:
     return g.select("key", F.transform("z", lambda e: e["x"]).alias("vector"))
 
 
-def label_pair_bests(df: DataFrame, ident: str = "face_id", vector: str = "vector", label: str = "person_id", digits: int = 6, block: int = BLOCK) -> DataFrame:
+def label_pair_bests(df: DataFrame, ident: str = "face_id", vector: str = "vector", label: str = "person_id", digits: int = 6, block: int = PAIRS) -> DataFrame:
     """``p, q, score``: the highest score between any member of label p and any of label q, p < q."""
 
     def best(t: pa.Table) -> pa.Table:
@@ -282,8 +286,8 @@ def label_pair_bests(df: DataFrame, ident: str = "face_id", vector: str = "vecto
         names = np.unique(c)
         at = np.searchsorted(names, c)
         top = np.full((len(names), len(names)), -np.inf)
-        for s in range(0, len(a), 1024):
-            rows = a[s : s + 1024]
+        for s in range(0, len(a), STRIP):
+            rows = a[s : s + STRIP]
             k = np.round(m[rows] @ m[b].T, digits)
             np.maximum.at(top, (at[rows][:, None].repeat(len(b), 1), at[b][None, :].repeat(len(rows), 0)), k)
         top = np.maximum(top, top.T)

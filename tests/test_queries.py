@@ -30,7 +30,7 @@ def test_entry(spark):
     assert entry.entry(spark).columns == ["person_id"]
 
 
-@pytest.mark.parametrize("name", NAMES[::6])
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, D)
     got, names = rows(df.columns, df.collect())
