@@ -11,7 +11,8 @@ Two forms:
   an order-preserving form, are refined by ``BITS`` bits a pass.
 
 Refinement goes ``BITS`` bits a pass, from the coarsest cells in which the values differ. After each pass only the cells
-in which a wanted rank lies are kept (``_refined``), so a pass reads about 1/2^BITS of the one before for each rank.
+in which a wanted rank lies are kept (``_refined``), so a pass reads about 1/2^BITS of the one before for each rank; it
+ends when each of these holds a single finest cell.
 
 Both shuffle on (key, cell), so a key with a third of all rows is spread over as many tasks as it has cells, and both
 are aggregated before the shuffle.
@@ -108,7 +109,11 @@ def _refined(cells: DataFrame, count: str, ranks: dict) -> tuple[DataFrame, Data
         want = cut(want)
         if shift:
             near = want.select("key", F.col("c").alias("_c")).distinct()
-            cells = cut(cells.withColumn("_c", F.expr(f"shiftright(cell, {shift})")).join(near, ["key", "_c"], "left_semi").drop("_c"))
+            kept = cut(cells.withColumn("_c", F.expr(f"shiftright(cell, {shift})")).join(near, ["key", "_c"], "left_semi"))
+            cells = kept.drop("_c")
+            if kept.groupBy("key", "_c").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty():  # every rank is resolved
+                one = kept.select("key", F.col("_c").alias("c"), "cell")
+                return want.join(one, ["key", "c"]).select("key", "n", "prob", "r", F.col("cell").alias("c")), cells
     return want, cells
 
 
