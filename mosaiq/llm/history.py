@@ -13,7 +13,7 @@ another session too: what was accepted is never parsed or hashed again, nor writ
 A batch is located by range search: only the buckets of its own first symbols are read, and of these the entries that share
 a prefix with the batch. The prefix is as long as the recall target allows: on a part of the batch's shots the links found
 below the long prefix (first symbol and a MinHash, in any tree) are measured against those below the first symbol, where
-recall is 1; if they are fewer than ``TARGET``, the prefix is widened to the first symbol for all. What is located is
+recall is 1; if they are fewer than ``TARGET``, or too few to tell, the prefix is widened to the first symbol for all. What is located is
 verified by reading the words as a person would.
 
 Entries of one shot are compared in one task up to ``WIDE`` of them. More are spread by locators (``locators``): two
@@ -230,7 +230,8 @@ class HashForest:
         wide = self._linked(some, 1).where("best < own and not wide").select(*KEY, "best")
         narrow = self._linked(some, 2).select(*KEY, F.col("best").alias("found"))
         n, hit = wide.join(narrow, KEY, "left").agg(F.count(F.lit(1)), F.count_if(F.col("found") == F.col("best"))).first()
-        return 2 if n and hit >= self.target * n else 1
+        # too few links prove nothing: with 3 / (1 - target) of them, a share that low would show with 95 % probability
+        return 2 if n * (1 - self.target) >= 3 and hit >= self.target * n else 1
 
     def search(self, said: DataFrame) -> DataFrame:
         """``kept_id, dup_id`` of the records in ``said`` that repeat a smaller id of any run, or of ``said`` itself."""
