@@ -69,7 +69,7 @@ def mix_plan(sized: DataFrame, targets: DataFrame, fit: str = "shares") -> DataF
     else:
         p = p.withColumn("budget", F.col("total").cast("double"))
         give = F.col("target_share") * F.col("total")
-    copies = F.when(F.col("able"), F.least(F.col("max_repeats").cast("double"), give / F.col("size"))).otherwise(0.0)
+    copies = F.when(F.col("able"), F.least(F.col("max_repeats").cast("double"), F.round(give / F.col("size"), 12))).otherwise(0.0)
     return p.select("source", "target_share", "max_repeats", "n_docs", "size", "total", "budget", copies.alias("copies"))
 
 
