@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaiq.session import cut
+from mosaiq.session import save
 
 BITS = 8
 
@@ -50,7 +50,7 @@ def distinct_ranks(df: DataFrame, key: str, value: str, probs: tuple[float, ...]
     The quantile of p is the value of rank max(1, ceil(p * n)) in ascending order. The histogram is refined from
     cells of 2^(6+8j) values down to the bitmap that holds the rank.
     """
-    cells = cut(distinct_cells(df, key, value))
+    cells = save(distinct_cells(df, key, value))
     want, cells = _refined(cells, "n", {float(p): _rank(p) for p in probs})
     leaf = cells.select("key", F.col("cell").alias("c"), "bits")
     found = want.join(leaf, ["key", "c"])
@@ -84,7 +84,7 @@ def key_ranks(df: DataFrame, key: str, value: str, ranks: dict) -> DataFrame:
         .groupBy("key", "v")
         .agg(F.count(F.lit(1)).alias("m"))
     )
-    base = cut(base.withColumn("cell", _ordered_bits(F.col("v"))))
+    base = save(base.withColumn("cell", _ordered_bits(F.col("v"))))
     want, base = _refined(base, "m", ranks)
     leaf = base.select("key", F.col("cell").alias("c"), "v")
     return want.join(leaf, ["key", "c"]).select("key", "n", "prob", F.col("v").alias("value"))
@@ -106,10 +106,10 @@ def _refined(cells: DataFrame, count: str, ranks: dict) -> tuple[DataFrame, Data
         else:
             step = step.withColumn("up", F.expr(f"shiftright(c, {BITS})"))
             want = _narrow(want.withColumnRenamed("c", "up"), step, ["key", "up"])
-        want = cut(want)
+        want = save(want)
         if shift:
             near = want.select("key", F.col("c").alias("_c")).distinct()
-            kept = cut(cells.withColumn("_c", F.expr(f"shiftright(cell, {shift})")).join(near, ["key", "_c"], "left_semi"))
+            kept = save(cells.withColumn("_c", F.expr(f"shiftright(cell, {shift})")).join(near, ["key", "_c"], "left_semi"))
             cells = kept.drop("_c")
             if kept.groupBy("key", "_c").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty():  # every rank is resolved
                 one = kept.select("key", F.col("_c").alias("c"), "cell")
