@@ -79,9 +79,12 @@ def _banded(v: np.ndarray, mv: np.ndarray, p: V.Pivots, h: np.ndarray, least: fl
 def _chunks(p: V.Pivots, h: np.ndarray, least: float, chunk: int) -> np.ndarray:
     n = np.zeros(max(1, h.size))
     if len(p.sample):
-        row, key, _, _ = _banded(p.sample, p.sample_versions, p, h, least)
-        for m in set(p.sample_versions):
-            n = np.maximum(n, np.bincount(key[p.sample_versions[row] == m], minlength=len(n)))
+        by = {m: np.zeros(len(n), np.int64) for m in set(p.sample_versions)}
+        for e in V.blocks(len(p.sample), len(p.vectors)):
+            row, key, _, _ = _banded(p.sample[e], p.sample_versions[e], p, h, least)
+            for m, count in by.items():
+                count += np.bincount(key[p.sample_versions[e][row] == m], minlength=len(n))
+        n = np.max(list(by.values()), axis=0)
     return np.maximum(1, np.ceil(n / max(p.rate, 1e-12) / chunk)).astype(np.int32)
 
 
@@ -89,10 +92,11 @@ def _post(batches: Iterator[pa.RecordBatch], p: V.Pivots, h: np.ndarray, chunks:
     """Blocks for the buckets. Links to pivots travel as blocks of their own, two for each flush: k = -1 for vectors that
     hang on a pivot, k = -2 for graph edges."""
     for ids, mv, x in V.held(batches):
-        v = V.unit(x).astype(np.float32)
+        v = V.unit32(x)
         rows, keys, beside, hang, edge = [], [], [], [], []
-        for s in range(0, len(v), 8192):
-            r, k, z, (a, b, c) = _banded(v[s : s + 8192], mv[s : s + 8192], p, h, least)
+        for e in V.blocks(len(v), len(p.vectors)):
+            s = e.start
+            r, k, z, (a, b, c) = _banded(v[e], mv[e], p, h, least)
             rows.append(r + s)
             keys.append(k)
             beside.append(z)
@@ -124,7 +128,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def link_block(a: np.ndarray, b: np.ndarray, label_a: np.ndarray, label_b: np.ndarray, ta: np.ndarray, tb: np.ndarray, least: float, same: bool) -> None:
     """Union by Jaccard of the sets ta and tb and by cosine: labels (places of the smallest member) of the rows of a and b
     are lowered in place. Rows of one label should be neighbours: tiles of one label only are passed over."""
-    fa, fb = V.unit(a).astype(np.float32), V.unit(b).astype(np.float32) if not same else None
+    fa, fb = V.unit32(a), V.unit32(b) if not same else None
     fb = fa if same else fb
     for s in range(0, len(a), TILE):
         for t in range(s if same else 0, len(b), TILE):
@@ -220,7 +224,7 @@ def clusters(df: DataFrame, least: float = 0.75, chunk: int = V.CHUNK, sample: i
         return df.sparkSession.createDataFrame([], "cluster_id bigint, face_id bigint")
     h = _permutations(len(p.vectors))
     chunks = _chunks(p, h, least, chunk)
-    p_ids = p.ids
+    p, p_ids = p.bare(), p.ids
     posts = spread(rows).mapInArrow(lambda it: _post(it, p, h, chunks, least), V.BLOCK_SCHEMA)
     links = save(posts.groupBy("mv", "k", "i", "j").applyInArrow(lambda t: _verify(t, p_ids, least), "kind int, a bigint, b bigint"))
     # faces that hang on pivots need no rounds: a pivot stands for them, by the smallest one linked to it

@@ -12,7 +12,8 @@ into chunks of ``CHUNK`` faces, and every pair of chunks is a task of its own.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,10 @@ APART = 0.6
 CHUNK = 65_536
 #: Rows that a map task holds before it emits blocks.
 FLUSH = 65_536
+#: Cosines with the pivots or the sample that are held at once, on the driver and in a task: they don't grow with the table.
+CELLS = 1 << 22
+#: Pivots of a group, of which only the highest cosine is looked at first.
+GROUP = 32
 BLOCK_SCHEMA = "mv string, k int, i int, j int, side int, ids binary, q binary, f binary, perm binary"
 
 
@@ -44,6 +49,22 @@ class Pivots:
     sample: np.ndarray
     sample_versions: np.ndarray
 
+    @cached_property
+    def codes(self) -> tuple[dict[str, int], np.ndarray]:
+        """A number for each version, and the pivots' numbers."""
+        names = {m: c for c, m in enumerate(dict.fromkeys(self.versions))}
+        return names, np.fromiter((names[m] for m in self.versions), np.int32, len(self.versions))
+
+    def bare(self) -> Pivots:
+        """Without the sample, which only the driver needs: what is sent to the tasks."""
+        return replace(self, sample=self.sample[:0], sample_versions=self.sample_versions[:0])
+
+
+def blocks(n: int, width: int) -> Iterator[slice]:
+    """Slices of n rows, in each of which at most ``CELLS`` cosines with ``width`` vectors arise."""
+    step = max(1, CELLS // max(1, width))
+    return (slice(s, min(s + step, n)) for s in range(0, n, step))
+
 
 def clean(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, versions and raw float32 vectors of the rows of (id, embedding, version) that take part."""
@@ -77,6 +98,14 @@ def unit(x: np.ndarray) -> np.ndarray:
     return d / np.sqrt(np.einsum("ij,ij->i", d, d))[:, None]
 
 
+def unit32(x: np.ndarray) -> np.ndarray:
+    """As ``unit``, in single precision; double precision is held for a block only."""
+    out = np.empty(x.shape, np.float32)
+    for e in blocks(len(x), 16 * DIM):
+        out[e] = unit(x[e])
+    return out
+
+
 def pack(x: np.ndarray) -> tuple[bytes, bytes, np.ndarray]:
     """Lossless: vectors on a grid of 1/1000 as 16-bit planes, the others as float32. The order is that of the result."""
     g = np.rint(x.astype(np.float64) * 1000)
@@ -110,8 +139,11 @@ def _apart(v: np.ndarray, mv: np.ndarray, ids: np.ndarray, most: int) -> np.ndar
     """Places of the pivots in the sample: in the order of similar vectors (counted in at most 2 * SAMPLE rows of the
     sample), each that isn't similar to one taken before."""
     n = len(v)
+    mv = _codes(mv)[0]
     step = max(1, n // SAMPLE)
-    degree = np.concatenate([_alike(v[s : s + 2048], v[::step], mv[s : s + 2048], mv[::step]).sum(axis=1) for s in range(0, n, 2048)]) if n else np.zeros(0)
+    degree = np.zeros(n, np.int64)
+    for e in blocks(n, -(-n // step)):
+        degree[e] = _alike(v[e], v[::step], mv[e], mv[::step]).sum(axis=1)
     order = np.lexsort((ids, -degree))
     free = np.ones(n, bool)
     taken: list[int] = []
@@ -128,7 +160,9 @@ def _apart(v: np.ndarray, mv: np.ndarray, ids: np.ndarray, most: int) -> np.ndar
         taken += new
         if len(taken) >= most:
             break
-        free &= ~_alike(v, v[new], mv, mv[new]).any(axis=1)
+        left = order[s + 512 :][free[order[s + 512 :]]]  # those before have been looked at
+        for e in blocks(len(left), len(new)):
+            free[left[e]] = ~_alike(v[left[e]], v[new], mv[left[e]], mv[new]).any(axis=1)
     return np.array(taken[:most], int)
 
 
@@ -153,25 +187,48 @@ def choose_pivots(rows: DataFrame, sample: int = SAMPLE, pivots: int = PIVOTS) -
         part = min(1.0, 8 * part)
     mv = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, object)
     x = np.concatenate([p[2] for p in parts]) if parts else np.zeros((0, DIM), np.float32)
+    del table, parts
     order = np.argsort(ids)
-    ids, mv, x = ids[order], mv[order], x[order]
-    v = unit(x).astype(np.float32) if len(x) else x
+    ids, mv, v = ids[order], mv[order], unit32(x)[order]
+    del x
     taken = _apart(v, mv, ids, pivots)
     return Pivots(v[taken], ids[taken], mv[taken], part, v, mv)
 
 
 def nearest(v: np.ndarray, mv: np.ndarray, p: Pivots, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Permutation prefixes: the ``m`` nearest pivots in order, their cosines; and all cosines, -2 for other versions."""
+    """Permutation prefixes: the ``m`` nearest pivots in order, their cosines; and all cosines, -2 for other versions.
+    The caller gives rows by ``blocks``, as all cosines are held."""
     d = v @ p.vectors.T
     m = min(m, d.shape[1])
-    top = np.argpartition(-d, m - 1, axis=1)[:, :m] if m < d.shape[1] else np.tile(np.arange(m), (len(v), 1))
+    top = _highest(d, m)
     s = np.take_along_axis(d, top, axis=1)
     order = np.argsort(-s, axis=1, kind="stable")
-    same = p.versions[None, :] == mv[:, None] if len(set(mv) | set(p.versions)) > 1 else None
-    own = d if same is None else np.where(same, d, np.float32(-2))
+    names, codes = p.codes
+    own = d
+    if len(set(mv) | set(names)) > 1:
+        mine = np.fromiter((names.get(x, -1) for x in mv), np.int32, len(mv))
+        own = np.where(codes[None, :] == mine[:, None], d, np.float32(-2))
     return np.take_along_axis(top, order, axis=1), np.take_along_axis(s, order, axis=1), own
 
 
+def _highest(d: np.ndarray, m: int) -> np.ndarray:
+    """Places of the m highest of each row. They lie in the m groups of columns whose highest are the highest."""
+    n, width = d.shape
+    if m >= width:
+        return np.tile(np.arange(width), (n, 1))
+    groups = -(-width // GROUP)
+    if groups <= m:
+        return np.argpartition(-d, m - 1, axis=1)[:, :m]
+    high = d[:, :groups].copy()  # a group's columns lie ``groups`` apart
+    for s in range(groups, width, groups):
+        part = d[:, s : s + groups]
+        np.maximum(high[:, : part.shape[1]], part, out=high[:, : part.shape[1]])
+    pick = np.argpartition(-high, m - 1, axis=1)[:, :m]
+    at = (pick[:, :, None] + groups * np.arange(GROUP)[None, None, :]).reshape(n, -1)
+    some = np.where(at < width, np.take_along_axis(d, np.minimum(at, width - 1), axis=1), np.float32(-3))
+    return np.take_along_axis(at, np.argpartition(-some, m - 1, axis=1)[:, :m], axis=1)
+
+
 def chunk_of(ids: np.ndarray, chunks: np.ndarray) -> np.ndarray:
     h = (ids.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)
     return (h % chunks.astype(np.uint64)).astype(np.int32)

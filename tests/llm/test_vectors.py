@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -167,3 +169,48 @@ def test_alike_vectors_of_two_pivots_meet():
     p = V.Pivots(at(0, 55), np.arange(2), mv(2), 1.0, at(0, 55), mv(2))
     row, key, _ = permknn._lists(at(25, 30, 0), mv(3), p, 0.75)
     assert {(int(r), int(k)) for r, k in zip(row, key)} == {(0, 0), (0, 1), (1, 0), (1, 1), (2, 0)}
+
+
+@pytest.fixture(scope="module")
+def wide():
+    """Pivots and a sample as they are beyond MANY_ROWS: 32 million cosines between them."""
+    rng = np.random.default_rng(11)
+    v = V.unit(rng.normal(size=(16_000, 128))).astype(np.float32)
+    mv = np.array(["a", "b"], object)[(np.arange(len(v)) % 8 == 0).astype(int)]
+    return V.Pivots(v[:2000], np.arange(2000), mv[:2000], 0.01, v, mv)
+
+
+def peak_mb(f):
+    tracemalloc.start()
+    out = f()
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return out, peak
+
+
+def test_chunks_of_clusters_hold_blocks_only(wide):
+    """The driver's memory doesn't grow with sample x pivots."""
+    h = clusters._permutations(len(wide.vectors))
+    got, peak = peak_mb(lambda: clusters._chunks(wide, h, 0.75, 1000))
+    assert peak < 150 and len(got) == h.size
+    row, key, _, _ = clusters._banded(wide.sample, wide.sample_versions, wide, h, 0.75)
+    n = [np.bincount(key[wide.sample_versions[row] == m], minlength=h.size) for m in "ab"]
+    assert (got == np.maximum(1, np.ceil(np.max(n, axis=0) / 0.01 / 1000))).all() and got.max() > 1
+
+
+def test_pivots_hold_blocks_only(wide):
+    taken, peak = peak_mb(lambda: V._apart(wide.sample, wide.sample_versions, np.arange(16_000), 1500))
+    assert peak < 100 and len(taken) == 1500
+    a = V._alike(wide.sample[taken], wide.sample[taken], wide.sample_versions[taken], wide.sample_versions[taken])
+    assert a.sum() == 1500
+    assert not len(wide.bare().sample) and wide.bare().vectors is wide.vectors
+
+
+def test_nearest_pivots_by_groups(wide):
+    for pivots in (1, 12, 33, 400, 1999):
+        p = V.Pivots(wide.vectors[:pivots], wide.ids[:pivots], wide.versions[:pivots], 0.01, wide.sample, wide.sample_versions)
+        v, mv = wide.sample[5000:5300], wide.sample_versions[5000:5300]
+        top, s, own = V.nearest(v, mv, p, 12)
+        d = v @ p.vectors.T
+        assert (s == -np.sort(-d, axis=1)[:, :12]).all() and (np.take_along_axis(d, top, axis=1) == s).all()
+        assert (own == np.where(p.versions[None, :] == mv[:, None], d, np.float32(-2))).all()
