@@ -59,17 +59,21 @@ def chunks_of_lists(p: V.Pivots, least: float, chunk: int) -> np.ndarray:
     """Number of chunks of each posting list, from its length in the sample."""
     n = np.zeros(max(1, len(p.vectors)))
     if len(p.sample):
-        row, key, _ = _lists(p.sample, p.sample_versions, p, least)
-        for m in set(p.sample_versions):
-            n = np.maximum(n, np.bincount(key[p.sample_versions[row] == m], minlength=len(n)))
+        by = {m: np.zeros(len(n), np.int64) for m in set(p.sample_versions)}
+        for e in V.blocks(len(p.sample), len(p.vectors)):
+            row, key, _ = _lists(p.sample[e], p.sample_versions[e], p, least)
+            for m, count in by.items():
+                count += np.bincount(key[p.sample_versions[e][row] == m], minlength=len(n))
+        n = np.max(list(by.values()), axis=0)
     return np.maximum(1, np.ceil(n / max(p.rate, 1e-12) / chunk)).astype(np.int32)
 
 
 def _post(batches: Iterator[pa.RecordBatch], p: V.Pivots, chunks: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
     for ids, mv, x in V.held(batches):
-        v = V.unit(x).astype(np.float32)
-        parts = [_lists(v[s : s + 8192], mv[s : s + 8192], p, least) for s in range(0, len(v), 8192)]
-        row = np.concatenate([r + 8192 * k for k, (r, _, _) in enumerate(parts)])
+        v = V.unit32(x)
+        cut = list(V.blocks(len(v), len(p.vectors)))
+        parts = [_lists(v[e], mv[e], p, least) for e in cut]
+        row = np.concatenate([r + e.start for e, (r, _, _) in zip(cut, parts)])
         key, perm = (np.concatenate([q[c] for q in parts]) for c in (1, 2))
         yield from V.emit(ids, x, mv, row, key, chunks, perm)
 
@@ -255,6 +259,7 @@ def neighbours(df: DataFrame, k: int = 5, least: float = 0.75, chunk: int = V.CH
     if not len(p.vectors):
         return df.sparkSession.createDataFrame([], "face_id bigint, rank int, neighbour bigint, cosine double")
     chunks = chunks_of_lists(p, least, chunk)
+    p = p.bare()
     posts = spread(rows).mapInArrow(lambda it: _post(it, p, chunks, least), V.BLOCK_SCHEMA)
     found = posts.groupBy("mv", "k", "i", "j").applyInArrow(
         lambda t: _search(t, k, least), "id bigint, near array<struct<c:int,n:bigint>>"

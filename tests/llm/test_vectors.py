@@ -214,3 +214,11 @@ def test_nearest_pivots_by_groups(wide):
         d = v @ p.vectors.T
         assert (s == -np.sort(-d, axis=1)[:, :12]).all() and (np.take_along_axis(d, top, axis=1) == s).all()
         assert (own == np.where(p.versions[None, :] == mv[:, None], d, np.float32(-2))).all()
+
+
+def test_chunks_of_lists_hold_blocks_only(wide):
+    got, peak = peak_mb(lambda: permknn.chunks_of_lists(wide, 0.75, 1000))
+    assert peak < 150 and len(got) == 2000
+    row, key, _ = permknn._lists(wide.sample, wide.sample_versions, wide, 0.75)
+    n = [np.bincount(key[wide.sample_versions[row] == m], minlength=2000) for m in "ab"]
+    assert (got == np.maximum(1, np.ceil(np.max(n, axis=0) / 0.01 / 1000))).all() and got.max() > 1
