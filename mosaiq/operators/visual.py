@@ -7,12 +7,15 @@ function from arrays to vectors. Both are given by the caller and made once for
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from mosaiq.operators.sequential import grey_figures
+from mosaiq.sources.files import open_file
 
 
 def image_figures(images: DataFrame, decode: Callable[[bytes], np.ndarray], ident: str = "path") -> DataFrame:
@@ -41,6 +44,28 @@ def image_figures(images: DataFrame, decode: Callable[[bytes], np.ndarray], iden
     return images.select(ident, "content").mapInPandas(run, schema)
 
 
+def image_sizes(files: DataFrame, measure: Callable[[BinaryIO], tuple[int, int]], path: str = "path") -> DataFrame:
+    """All columns of ``files`` and ``width, height``: what ``measure`` says of each file, 0 where it fails or the file
+    can't be opened. It gets the opened file, not a row with its bytes, so files may be larger than a task's memory."""
+    names = files.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = []
+            for p in b.column(names.index(path)).to_pylist():
+                try:
+                    with open_file(p) as f:
+                        w, h = measure(f)
+                    sizes.append((int(w), int(h)))
+                except Exception:
+                    sizes.append((0, 0))
+            ends = [pa.array([s[k] for s in sizes], pa.int32()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *ends], [*names, "width", "height"])
+
+    schema = files.selectExpr("*", "cast(0 as int) as width", "cast(0 as int) as height").schema
+    return files.mapInArrow(run, schema)
+
+
 def colours(rgb: np.ndarray, cap: int = 200_000) -> int:
     p = rgb[..., :3].reshape(-1, 3).astype(np.int64)
     return int(min(cap, len(np.unique(p[:, 0] << 16 | p[:, 1] << 8 | p[:, 2]))))

@@ -345,12 +345,13 @@ def st11_sessions(s, d):
 @R.query()
 def src01_src03_file_scan(s, d):
     """The tables' files with what a scan of images notes; no decoder knows them, so width and height are 0."""
-    def decode(data):
+    def measure(file):  # reads all of it, in pieces
+        while file.read(1 << 20):
+            pass
         raise ValueError("no image")
 
-    f = files.scan_files(s, d, ["parquet"], content=True)
-    size = W.image_figures(f, decode).select("path", F.coalesce("width", F.lit(0)).alias("width"), F.coalesce("height", F.lit(0)).alias("height"))
-    return f.drop("content").join(size, "path").select(Q.base_name(c("path")).alias("name"), "size", "ext", "mime", c("modified_at").alias("captured_at"), "width", "height")
+    f = W.image_sizes(files.scan_files(s, d, ["parquet"]), measure)
+    return f.select(Q.base_name(c("path")).alias("name"), "size", "ext", "mime", c("modified_at").alias("captured_at"), "width", "height")
 
 
 @R.query("""with px as (select vec_id, k, cast(round_even(greatest(least((embedding[k + 1]::double + 4) * 32, 255), 0), 0) as bigint) as g from embeddings, range(0, 64) t(k)),

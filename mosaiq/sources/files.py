@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,18 @@ def scan_files(spark: SparkSession, root: str, extensions: list[str] | None = No
     return out.where(F.col("ext").isin([e.lower() for e in (extensions or IMAGES)]))
 
 
+def open_file(path: str) -> BinaryIO:
+    """A file by the path that ``scan_files`` gives it, to be read from where the task runs."""
+    if path.startswith("file:") or "://" not in path:
+        return open("/" + path.removeprefix("file:").lstrip("/"), "rb")
+    from pyarrow import fs
+
+    scheme, rest = path.split("://", 1)
+    host, _, name = rest.partition("/")
+    where, root = fs.FileSystem.from_uri(f"{scheme}://{host}/")
+    return where.open_input_file(f"{root.rstrip('/')}/{name}")
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A Parquet table with a given schema: nothing is inferred."""
     return spark.read.schema(schema).parquet(path)

@@ -43,3 +43,27 @@ def test_head_pose():
     roll = np.array([[np.cos(t), -np.sin(t)], [np.sin(t), np.cos(t)]])
     assert abs(I.head_pose(front @ roll.T)[2] - 20) < 1e-6
     assert I.head_pose(np.zeros((5, 2))) is None
+
+
+def test_sizes_of_files_too_large_for_a_row(spark, tmp_path):
+    """Files are opened where they are measured; 3 GB (a hole) can't be the content of a row."""
+    from mosaiq.plans import sequences
+    from mosaiq.sources import files
+    from mosaiq.session import share_code
+
+    share_code(spark)
+    for name, n in (("a b%20.parquet", 5), ("huge.parquet", 3 << 30), ("bad.parquet", 9)):
+        with open(tmp_path / name, "wb") as f:
+            f.truncate(n)
+
+    def measure(f):
+        at = f.seek(0, 2)
+        return at >> 20, 7 // (9 - at)
+
+    got = {r.path.rsplit("/", 1)[1]: (r["size"], r.mime is None, r.width, r.height) for r in I.image_sizes(files.scan_files(spark, str(tmp_path), ["parquet"]), measure).collect()}
+    mime = got["huge.parquet"][1]
+    assert got == {"a b%20.parquet": (5, mime, 0, 1), "huge.parquet": (3 << 30, mime, 3072, -1), "bad.parquet": (9, mime, 0, 0)}
+    rows = sequences.queries()["src01_src03_file_scan"](spark, str(tmp_path)).collect()
+    assert {(r["name"], r["size"], r.width, r.height) for r in rows} == {("a b%20.parquet", 5, 0, 0), ("huge.parquet", 3 << 30, 0, 0), ("bad.parquet", 9, 0, 0)}
+    gone = spark.createDataFrame([("file:/no/such.jpg",), (None,)], "path string")
+    assert [(r.width, r.height) for r in I.image_sizes(gone, measure).collect()] == [(0, 0), (0, 0)]
